@@ -16,11 +16,12 @@ other row (each row is a document of its own). Extra columns are ignored. An emp
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ from streamloom.llm.common import slices, small_batches, table, texts_of
 from streamloom.llm.token_counts import tokenizer
 
 VOCABULARY, SPECIAL = "byte_bpe_50k.json", "<|endoftext|>"
-WINDOW, CACHE = 1024, 300_000
+WINDOW, CACHE = 1024, 450_000
 #: Ids that a buffer gathers before it is packed, and windows in a step group.
 BUFFER, STEP = 256 * WINDOW, 8
 #: A space before white space or the end; elsewhere every space starts a pre-token.
@@ -37,8 +38,9 @@ LOOSE = re.compile(r" (?:\s|\Z)")
 BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
-#: A worker's cache: the little-endian 32-bit ids of a piece of text, by path.
-_caches: dict[str, dict[str, bytes]] = {}
+#: A worker's cache, by path: the little-endian 32-bit ids of a piece of text, as a new and an old generation. A full new
+#: generation replaces the old one, from which pieces still in use come back.
+_caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def pieces_of(text: str) -> list[str]:
@@ -49,21 +51,33 @@ def pieces_of(text: str) -> list[str]:
     return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def encode_all(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit integers."""
-    cache = _caches.setdefault(path, {})
+    new, old = _caches.setdefault(path, ({}, {}))
     odd = {i for i, t in enumerate(texts) if SPECIAL in t}
     split = [[] if i in odd else pieces_of(t) for i, t in enumerate(texts)]
     seen: set[str] = set().union(*split)
-    missed = [w for w in seen if w not in cache]
-    if len(cache) + len(missed) > CACHE:
-        cache.clear()
-        missed = list(seen)
+    if len(new) + len(seen) > CACHE:
+        new, old = _caches[path] = ({}, new)
+    missed = []
+    for w in seen:
+        if w not in new:
+            if w in old:
+                new[w] = old[w]
+            else:
+                missed.append(w)
     encode = tokenizer(path).encode_batch_fast
     for w, e in zip(missed, encode(missed, add_special_tokens=False), strict=True):
-        cache[w] = np.array(e.ids, "<u4").tobytes()
-    whole = {i: np.array(e.ids, "<u4").tobytes() for i, e in zip(sorted(odd), encode([texts[i] for i in sorted(odd)], add_special_tokens=False), strict=True)}
-    return [whole[i] if i in odd else b"".join(map(cache.__getitem__, words)) for i, words in enumerate(split)]
+        new[w] = as_bytes(e.ids)
+    whole = {i: as_bytes(e.ids) for i, e in zip(sorted(odd), encode([texts[i] for i in sorted(odd)], add_special_tokens=False), strict=True)}
+    return [whole[i] if i in odd else b"".join(map(new.__getitem__, words)) for i, words in enumerate(split)]
 
 
 class TierPacker:
