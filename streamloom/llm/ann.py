@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: NN-descent by Spark joins, then greedy search in the neighbour graph.
 
 Equal vectors are one node, kept with its smallest ids, so a vector that fills a third of the table costs no more than
-any other. The first neighbour lists come from blocks of a few hundred nodes that lie next to each other in the order of
-random projections. Each round then joins every node with the vectors of its neighbours, forward and reverse, scores
-the pairs among them (they are neighbours of neighbours), and keeps the best of each node's candidates. A query starts
-at its own node and repeatedly expands the best unexpanded nodes of its beam through the graph, by joins too.
+any other. Nodes that lie next to each other in the order of random projections form a shard of some thousand nodes.
+The first neighbour lists come from blocks of a few hundred nodes of a shard, in several such orders. Each round then
+joins every node with the vectors of its neighbours, forward and reverse, scores the pairs among them (they are
+neighbours of neighbours), and keeps the best of each node's candidates. A query visits the shards whose centres are
+nearest to it, up to PROBES, and searches the graph of each greedily from its entry nodes, in the worker that holds the
+shard; the best of all shards are scored again in double precision.
 
 Nearness is the cosine in double precision. Vectors that are null, empty, zero, or that hold null or non-finite
 components take no part (vectors are compared with those of their own length only); nor do rows with a null id. Of rows with the same id the one with the smallest vector counts.
@@ -24,9 +26,11 @@ from pyspark.sql.window import Window
 from streamloom.llm.common import cut, table
 
 #: Neighbours kept, reverse neighbours joined a round, rounds, projections for the first lists, nodes of a block.
-K, REVERSE, ROUNDS, TREES, BLOCK = 20, 12, 4, 4, 400
-#: Search: nodes expanded a step, steps, and nodes that a beam keeps.
-EXPAND, STEPS, BEAM = 16, 3, 96
+K, REVERSE, ROUNDS, TREES, BLOCK = 20, 12, 3, 3, 400
+#: Nodes of a shard (more if there would be over MOST_SHARDS), and shards that a query visits.
+SHARD, MOST_SHARDS, PROBES = 8000, 20_000, 24
+#: Search in a shard: entry nodes, nodes expanded a step, nodes that the beam keeps, and nodes returned.
+ENTRIES, EXPAND, BEAM, RETURN = 64, 32, 256, 16
 SALTS = 32
 
 
@@ -62,6 +66,7 @@ def _blocks(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         vecs: list[bytes] = []
+        shard = None
 
         def drained(n: int) -> pa.RecordBatch:
             out = edges(np.array(ids[:n]), np.stack([np.frombuffer(x, np.float16) for x in vecs[:n]]).astype(np.float32))
@@ -69,9 +74,10 @@ def _blocks(k: int):
             return out
 
         for b in batches:
-            for i, v in zip(b.column("node").to_pylist(), b.column("v").to_pylist(), strict=True):
-                if vecs and len(vecs[0]) != len(v):  # vectors of one length only are compared
+            for i, v, own in zip(b.column("node").to_pylist(), b.column("v").to_pylist(), b.column("shard").to_pylist(), strict=True):
+                if ids and own != shard:
                     yield drained(len(ids))
+                shard = own
                 ids.append(i)
                 vecs.append(v)
                 if len(ids) >= 2 * BLOCK:
@@ -135,63 +141,137 @@ def adjacency(graph: DataFrame, reverse: int, parts: int) -> DataFrame:
     return forward.select("node", "u").unionByName(back).distinct()
 
 
-def build_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """node, nbrs, sims: approximate neighbour lists of nodes(node, vec), by NN-descent."""
+def sharded(nodes: DataFrame) -> DataFrame:
+    """node, v (half precision, unit length), dim, codes, shard: shards are ranges in the order of the first projection."""
     n = nodes.count()
-    parts = max(1, min(2000, -(-n // 8000)))
-    coded = cut(nodes.select("node", "vec").mapInArrow(_coded(TREES), "node long, v binary, dim int, codes array<string>"))
+    parts = max(1, -(-n // max(SHARD, n // MOST_SHARDS)))
+    coded = nodes.select("node", "vec").mapInArrow(_coded(TREES), "node long, v binary, dim int, codes array<string>")
+    ranged = cut(coded).withColumn("code", F.col("codes")[0]).repartitionByRange(parts, "dim", "code", "node")
+    return cut(ranged.withColumn("shard", F.col("dim") * F.lit(1 << 32) + F.spark_partition_id()).drop("code"))
+
+
+def build_graph(coded: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
+    """node, nbrs, sims: approximate neighbour lists within each shard, by NN-descent."""
+    n = coded.count()
+    parts = max(6, min(2000, -(-n // SHARD)))
     edges = None
     for t in range(TREES):
-        ordered = coded.select("node", "v", "dim", F.col("codes")[t].alias("code")).repartitionByRange(parts, "dim", "code", "node").sortWithinPartitions("dim", "code", "node")
+        ordered = coded.select("node", "v", "shard", F.col("codes")[t].alias("code")).repartition(parts, "shard").sortWithinPartitions("shard", "code", "node")
         e = ordered.mapInArrow(_blocks(k), "u long, w long, s float")
         edges = e if edges is None else edges.unionByName(e)
-    more = max(parts, 6)
-    graph = cut(best(edges, k, more))
+    graph = cut(best(edges, k, parts))
     vectors = coded.select("node", "v")
     for _ in range(rounds):
         least = graph.select("node", F.when(F.size("sims") < k, F.lit(-2.0)).otherwise(F.array_min("sims")).cast("float").alias("least"))
         known = vectors.join(least, "node").select(F.col("node").alias("u"), "v", "least")
-        pairs = adjacency(graph, REVERSE, more).unionByName(graph.select("node", F.col("node").alias("u")))
-        around = pairs.join(known, "u").repartition(more * 4, "node").groupBy("node").agg(F.collect_list(F.struct("u", "v", "least")).alias("members"))
+        pairs = adjacency(graph, REVERSE, parts).unionByName(graph.select("node", F.col("node").alias("u")))
+        around = pairs.join(known, "u").repartition(parts * 4, "node").groupBy("node").agg(F.collect_list(F.struct("u", "v", "least")).alias("members"))
         new = around.mapInArrow(_local, "u long, w long, s float")
         old = graph.select(F.col("node").alias("u"), F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("u", F.col("e.nbrs").alias("w"), F.col("e.sims").alias("s"))
-        graph = cut(best(new.unionByName(old), k, more))
+        graph = cut(best(new.unionByName(old), k, parts))
     return graph
 
 
+def half(column: pa.ChunkedArray) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), -1).astype(np.float32)
+
+
+def walk(m: np.ndarray, links: np.ndarray, q: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy search from the entries: nodes and scores of the beam. links: (nodes, degree), -1 where there are fewer."""
+    seen = np.zeros(len(m) + 1, bool)
+    seen[-1] = True  # index -1
+    seen[entries] = True
+    ids, sims, done = entries, m[entries] @ q, np.zeros(len(entries), bool)
+    while True:
+        order = np.argsort(-sims, kind="stable")[:BEAM]
+        ids, sims, done = ids[order], sims[order], done[order]
+        turn = np.nonzero(~done)[0][:EXPAND]
+        if not len(turn):
+            return ids, sims
+        done[turn] = True
+        new = np.unique(links[ids[turn]])
+        new = new[~seen[new]]
+        seen[new] = True
+        ids, sims, done = np.concatenate([ids, new]), np.concatenate([sims, m[new] @ q]), np.concatenate([done, np.zeros(len(new), bool)])
+
+
+def _visit(key, shard, queries):
+    """All queries that visit one shard, in its graph."""
+    empty = pa.table({"query": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+    if not shard.num_rows or not queries.num_rows:
+        return empty
+    nodes, m = shard.column("node").to_numpy(), half(shard.column("v"))
+    order = np.argsort(nodes)
+    lists = shard.column("links").to_pylist()
+    links = np.full((len(nodes), max(map(len, lists)) or 1), -1, np.int64)
+    for i, x in enumerate(lists):
+        links[i, : len(x)] = order[np.searchsorted(nodes, x, sorter=order)]
+    entries = order[np.linspace(0, len(nodes) - 1, min(ENTRIES, len(nodes))).astype(int)]
+    at = {int(x): i for i, x in enumerate(nodes)}
+    out_q, out_n = [], []
+    for query, q in zip(queries.column("query").to_pylist(), half(queries.column("q")), strict=True):
+        own = np.unique(np.append(entries, at[query])) if query in at else entries
+        ids = walk(m, links, q, own)[0][:RETURN]
+        out_q.append(np.full(len(ids), query))
+        out_n.append(nodes[ids])
+    return pa.table({"query": np.concatenate(out_q).astype(np.int64), "node": np.concatenate(out_n).astype(np.int64)})
+
+
+def routed(coded: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, q, shard: the PROBES shards with the nearest centres. The centres (MOST_SHARDS at most) are broadcast."""
+
+    def centre(key, rows):
+        v = half(rows.column("v")).mean(axis=0)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "c": pa.array([v.astype(np.float32).tobytes()], pa.binary())})
+
+    rows = coded.select("shard", "v").groupBy("shard").applyInArrow(centre, "shard long, c binary").orderBy("shard").collect()
+    centres = coded.sparkSession.sparkContext.broadcast([(r["shard"], bytes(r["c"])) for r in rows])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for dim in {len(c) for _, c in centres.value}:
+            own = [(s, c) for s, c in centres.value if len(c) == dim]
+            by[dim // 4] = np.array([s for s, _ in own]), np.stack([np.frombuffer(c, np.float32) for _, c in own])
+        for b in batches:
+            out: list[tuple] = []
+            for query, v in zip(b.column("query").to_pylist(), b.column("q").to_pylist(), strict=True):
+                q = np.frombuffer(v, np.float16).astype(np.float32)
+                shards, c = by[len(q)]
+                out += [(query, v, s) for s in shards[np.argsort(-(c @ q), kind="stable")[:PROBES]].tolist()]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["query", "q", "shard"])
+
+    return queries.mapInArrow(route, "query long, q binary, shard long")
+
+
 def cosine(a: str, b: str):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, p: acc + p)
     return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a))) / F.sqrt(dot(F.col(b), F.col(b)))
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, steps: int = STEPS, expand: int = EXPAND, beam: int = BEAM) -> DataFrame:
-    """query, node, score: the beams of greedy search from each query's own node. queries: node."""
-    parts = max(6, min(2000, queries.count() // 500))
-    links = cut(adjacency(graph, K, parts))
-    q = queries.join(nodes.select("node", "vec"), "node").select(F.col("node").alias("query"), F.col("vec").alias("q"))
-    found = cut(q.select("query", F.col("query").alias("node"), cosine("q", "q").alias("score"), F.lit(False).alias("open"), F.lit(True).alias("next")))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    for step in range(steps + 1):
-        reached = found.filter("next").join(links, "node").select("query", F.col("u").alias("node")).distinct()
-        reached = reached.join(found.select("query", "node"), ["query", "node"], "left_anti")
-        scored = reached.join(nodes.select("node", "vec"), "node").join(q, "query").filter(F.size("q") == F.size("vec"))
-        scored = scored.select("query", "node", cosine("q", "vec").alias("score"), F.lit(True).alias("open"))
-        kept = found.select("query", "node", "score", (F.col("open") & ~F.col("next")).alias("open")).unionByName(scored)
-        kept = kept.withColumn("at", F.row_number().over(order)).filter((F.col("at") <= beam) | ~F.col("open"))
-        turn = Window.partitionBy("query", "open").orderBy(F.desc("score"), "node")
-        found = cut(kept.withColumn("next", F.col("open") & (F.row_number().over(turn) <= expand)).drop("at"))
-    return found.select("query", "node", "score")
+def search(nodes: DataFrame, coded: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, node, score: the nodes that greedy search finds for each query (a node), scored exactly."""
+    asked = queries.join(coded.select("node", "v"), "node").select(F.col("node").alias("query"), F.col("v").alias("q"))
+    parts = max(6, min(2000, -(-coded.count() // SHARD)))
+    links = adjacency(graph, K, parts).groupBy("node").agg(F.collect_list("u").alias("links"))
+    held = coded.select("shard", "node", "v").join(links, "node", "left").select("shard", "node", "v", F.coalesce("links", F.array().cast("array<bigint>")).alias("links"))
+    found = held.groupBy("shard").cogroup(routed(coded, asked).groupBy("shard")).applyInArrow(_visit, "query long, node long")
+    vecs = nodes.select("node", "vec")
+    found = found.join(vecs, "node").join(vecs.select(F.col("node").alias("query"), F.col("vec").alias("q")), "query")
+    return cut(found.select("query", "node", cosine("q", "vec").alias("score")))
 
 
 def nearest(vectors: DataFrame, modulus: int, top: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest rows found for each row whose id is divisible by ``modulus``."""
     rows = cut(nodes_of(vectors))
     nodes = cut(classes_of(rows, top + 1))
-    graph = build_graph(nodes)
+    coded = sharded(nodes)
+    graph = build_graph(coded)
     asked = rows.filter(F.col("vec_id") % modulus == 0).select(F.col("vec_id").alias("query_id"), "print")
     node_of = rows.groupBy("print").agg(F.min("vec_id").alias("query"))
     asked = asked.join(node_of, "print").select("query_id", "query")
-    found = search(nodes, graph, asked.select(F.col("query").alias("node")).distinct())
+    found = search(nodes, coded, graph, asked.select(F.col("query").alias("node")).distinct())
     own = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     found = found.withColumn("at", F.row_number().over(own)).filter(F.col("at") <= top + 1).drop("at")
     members = found.join(nodes.select("node", "ids"), "node").select("query", F.explode("ids").alias("vec_id"), "score")
