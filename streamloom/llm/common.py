@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a Parquet table in the shared folder: smaller than a checkpoint of the rows."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streamloom-written-")
+    path = f"{shared}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def id_bucket(column: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids give null."""
     c = F.col(column) if isinstance(column, str) else column
