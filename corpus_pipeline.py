@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from streamloom.llm.decontaminate import decontamination_stage
 from streamloom.llm.language_id import language_stage
+from streamloom.llm.near_dedup import dedup_stage
 from streamloom.llm.packing import packing_stage
 from streamloom.llm.secret_scan import secret_stage
 
-#: Filled in as the operators land; the order is that of the finished pipeline.
 STAGES = [
     ("language_id", language_stage),
+    ("near_dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
     ("secret_scan", secret_stage),
     ("packing", packing_stage),
 ]
