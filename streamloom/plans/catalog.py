@@ -5,9 +5,299 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from streamloom.functions.expressions import tx_id, tx_lsn, tx_string
+from streamloom.operators import backfill, changelog, envelope, reporting, transactions, txjoin
+from streamloom.plans.fixtures import load, with_sql
 
 FLAGSHIP = "tx_order_agg"
+CURRENT_LSN = "16/B374E000"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str, *names: str):
+    """Registers a query over fixtures or tables, and its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[load(spark, sf_dir, n) for n in names])
+        defined = with_sql(*names)
+        ORACLE_SQL[f.__name__] = (defined if defined != "WITH  " else "") + sql
+        return f
+
+    return add
+
+
+S = "'__debezium_unavailable_value'"
+KEYED = f"""SELECT pos, id, op, CASE WHEN op = 'u' AND biography = {S} THEN (last_value(CASE WHEN op IN ('r', 'c') OR (op = 'u' AND
+ (biography IS NULL OR biography <> {S})) THEN {{'b': biography}} END IGNORE NULLS) OVER (PARTITION BY id, epoch ORDER BY pos ROWS
+ BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)).b ELSE biography END AS biography FROM (SELECT *, count(CASE WHEN op = 'd' THEN 1 END)
+ OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS epoch FROM fx1)"""
+
+
+@query(f"SELECT pos, id, op, CASE WHEN biography = {S} AND op <> 'd' THEN last_value(nullif(biography, {S}) IGNORE NULLS) OVER (PARTITION BY id ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) ELSE biography END AS biography FROM fx1", "fx1")
+def backfill_over_30d(fx1):
+    return backfill.backfill_over(fx1, "biography").select("pos", "id", "op", "biography")
+
+
+@query(f"SELECT pos, id, op, CASE WHEN biography = {S} AND op <> 'd' THEN last_value(nullif(biography, {S}) IGNORE NULLS) OVER (PARTITION BY id ORDER BY ts, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE biography END AS biography FROM fx1", "fx1")
+def backfill_over_unbounded(fx1):
+    return backfill.backfill_over(fx1, "biography", days=None).select("pos", "id", "op", "biography")
+
+
+@query(KEYED, "fx1")
+def backfill_keyed_state(fx1):
+    return backfill.backfill_keyed(fx1, ["biography"]).select("pos", "id", "op", "biography")
+
+
+@query(f"SELECT pos, id, op, CASE WHEN biography = {S} THEN 'customer ' || c_name ELSE biography END AS biography FROM fx1 LEFT JOIN customer ON id = c_custkey", "fx1", "customer")
+def backfill_reselect_lookup(fx1, customer):
+    current = customer.select(F.col("c_custkey").alias("id"), F.concat(F.lit("customer "), "c_name").alias("biography"))
+    return backfill.reselect(fx1, current, ["biography"]).select("pos", "id", "op", "biography")
+
+
+def wired(fx1: DataFrame) -> DataFrame:
+    """fx1 as JSON envelopes: what a change topic holds."""
+    row = F.struct("id", F.col("biography"))
+    source = F.struct(F.lit("s1").alias("name"), F.lit("false").alias("snapshot"), F.lit("inventory").alias("schema"), F.when(F.col("id") % 2 == 0, "authors").otherwise("books_1").alias("table"), (F.col("pos") * 10).alias("txId"), (F.col("pos") * 100).alias("lsn"))
+    value = F.to_json(F.struct(F.when(F.col("op") == "d", row).alias("before"), F.when(F.col("op") != "d", row).alias("after"), source.alias("source"), "op", (F.col("pos") * 1000).alias("ts_ms"), F.struct(F.concat_ws(":", F.col("pos") * 10, F.col("pos") * 100).alias("id")).alias("transaction")), {"ignoreNullFields": "false"})
+    return fx1.select("pos", F.to_json(F.struct("id")).alias("key"), value.alias("value"))
+
+
+ROW = "id bigint, biography string"
+
+
+@query("SELECT pos, id, op, CASE WHEN op = 'd' THEN biography END AS before_biography, CASE WHEN op <> 'd' THEN biography END AS after_biography, pos * 1000 AS ts_ms, false AS is_snapshot FROM fx1", "fx1")
+def envelope_append(fx1):
+    e = envelope.decode(wired(fx1), ROW)
+    return e.select("pos", envelope.event_key("id").alias("id"), "op", F.col("before.biography").alias("before_biography"), F.col("after.biography").alias("after_biography"), "ts_ms", "is_snapshot")
+
+
+@query("SELECT pos, epoch_ms(make_timestamp(pos * 1000000)) AS ingestion_ms, CASE WHEN id % 2 = 0 THEN 'inventory.authors' ELSE 'inventory.books_1' END AS source_table, CAST(pos * 100 AS VARCHAR) AS lsn FROM fx1", "fx1")
+def metadata_columns(fx1):
+    m = envelope.metadata(envelope.decode(wired(fx1), ROW))
+    return m.select("pos", F.unix_millis("ingestion_ts").alias("ingestion_ms"), "source_table", F.col("source_properties")["lsn"].alias("lsn"))
+
+
+@query("SELECT pos, id FROM fx1 WHERE id % 2 = 0", "fx1")
+def table_include_filter(fx1):
+    return envelope.include_tables(envelope.decode(wired(fx1), ROW), ["inventory\\.authors", "inventory\\.book"]).select("pos", envelope.event_key("id").alias("id"))
+
+
+@query("SELECT pos, pos * 10 AS tx_id, pos * 100 AS commit_lsn, CAST(pos * 10 AS VARCHAR) || ':' || CAST(pos * 100 AS VARCHAR) AS tx FROM fx1", "fx1")
+def transaction_ids(fx1):
+    e = envelope.decode(wired(fx1), ROW)
+    t = F.col("transaction.id")
+    return e.select("pos", tx_id(t).alias("tx_id"), tx_lsn(t).alias("commit_lsn"), tx_string(tx_id(t), tx_lsn(t)).alias("tx"))
+
+
+IMAGES = "imaged AS (SELECT pos, id, op, CASE WHEN op <> 'c' THEN lag(biography) OVER (PARTITION BY id ORDER BY pos) END AS old, biography AS new FROM fx1)"
+KINDS = f", {IMAGES} SELECT pos, id, CASE WHEN op = 'c' THEN '+I' ELSE '+U' END AS row_kind, new AS biography FROM imaged WHERE op <> 'd' UNION ALL SELECT pos, id, CASE WHEN op = 'u' THEN '-U' ELSE '-D' END, old FROM imaged WHERE op <> 'c' AND has"
+
+
+def imaged(fx1: DataFrame) -> DataFrame:
+    """fx1 with images before and after; the image before a key's first event is missing."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("id").orderBy("pos")
+    row = F.struct("biography")
+    return fx1.select("pos", "id", "op", F.when(F.col("op") != "c", F.lag(row).over(w)).alias("before"), F.when(F.col("op") != "d", row).alias("after"))
+
+
+@query(KINDS.replace(" AND has", " AND (op = 'd' OR known)").replace("biography AS new FROM", "biography AS new, lag(1) OVER (PARTITION BY id ORDER BY pos) IS NOT NULL AS known FROM"), "fx1")
+def rowkind_expand(fx1):
+    return changelog.expand_row_kinds(imaged(fx1)).select("pos", "id", "row_kind", F.col("row.biography").alias("biography"))
+
+
+@query("""SELECT pos, id, op, row_kind, biography FROM (SELECT pos, id, 'c' AS op, '+I' AS row_kind, biography FROM fx1 WHERE op = 'c'
+ UNION ALL SELECT pos, id, 'c', '+U', biography FROM fx1 WHERE op = 'u' UNION ALL SELECT pos, id, 'd', '-D', old FROM (SELECT *, lag(biography) OVER (PARTITION BY id ORDER BY pos) AS old FROM fx1) WHERE op = 'd'
+ UNION ALL SELECT pos, id, 'd', '-U', old FROM (SELECT *, lag(biography) OVER (PARTITION BY id ORDER BY pos) AS old, lag(1) OVER (PARTITION BY id ORDER BY pos) AS k FROM fx1) WHERE op = 'u' AND k IS NOT NULL)""", "fx1")
+def changelog_envelope(fx1):
+    kinds = changelog.expand_row_kinds(imaged(fx1))
+    e = changelog.to_envelope(kinds, "id").join(kinds.select("pos", "part", "row_kind"), ["pos", "part"])
+    return e.select("pos", "id", "op", "row_kind", F.coalesce("after", "before")["biography"].alias("biography"))
+
+
+NORMAL = """normal AS (SELECT pos, id, CASE WHEN op = 'd' THEN 'd' WHEN was THEN 'u' ELSE 'c' END AS op, CASE WHEN was THEN pb END AS before, CASE WHEN op <> 'd' THEN biography END AS after, was
+ FROM (SELECT *, coalesce(lag(op) OVER w <> 'd', false) AS was, lag(biography) OVER w AS pb FROM fx1 WINDOW w AS (PARTITION BY id ORDER BY pos))
+ WHERE (op <> 'd' AND NOT (was AND pb IS NOT DISTINCT FROM biography)) OR (op = 'd' AND was))"""
+
+
+@query(f", {NORMAL} SELECT pos, id, op, before, after FROM normal", "fx1")
+def normalize_changelog(fx1):
+    n = changelog.normalize(fx1.withColumn("row", F.struct("biography")), "id", "row")
+    return n.select("pos", "id", "op", F.col("before.biography").alias("before"), F.col("after.biography").alias("after"))
+
+
+@query(f", {NORMAL} SELECT pos, id, op = 'd' AS tombstone, after AS biography FROM normal", "fx1")
+def changelog_to_upsert(fx1):
+    n = changelog.normalize(fx1.withColumn("row", F.struct("biography")), "id", "row")
+    u = changelog.to_upsert(changelog.expand_row_kinds(n), "id")
+    return u.select("pos", "id", F.col("value").isNull().alias("tombstone"), F.col("value.biography").alias("biography"))
+
+
+def upserts(fx1: DataFrame) -> DataFrame:
+    return fx1.select("id", "pos", F.when(F.col("op") != "d", F.struct("biography")).alias("value"))
+
+
+@query(f""", {NORMAL} SELECT pos, id, CASE WHEN was THEN '+U' ELSE '+I' END AS row_kind, after AS biography FROM normal WHERE op <> 'd'
+ UNION ALL SELECT pos, id, CASE WHEN op = 'd' THEN '-D' ELSE '-U' END, before FROM normal WHERE was""", "fx1")
+def upsert_to_changelog(fx1):
+    return changelog.upsert_to_changelog(upserts(fx1), "id").select("pos", "id", "row_kind", F.col("row.biography").alias("biography"))
+
+
+LAST = "SELECT id, biography FROM fx1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos DESC) = 1 AND op <> 'd'"
+
+
+@query(LAST, "fx1")
+def upsert_materialize(fx1):
+    return changelog.materialize(upserts(fx1), "id").select("id", F.col("value.biography").alias("biography"))
+
+
+@query(LAST, "fx1")
+def current_state(fx1):
+    return changelog.current_state(fx1, "id", ["biography"])
+
+
+def arrived_events(fo: DataFrame, arrived: DataFrame) -> DataFrame:
+    one = lambda df, tbl: df.select(F.col("id").cast("long").alias("id"), (F.lit(5000000) - F.col("commit_lsn")).alias("tx_id"), "seq", F.lit(tbl).alias("tbl"))
+    return one(fo, "orders").unionByName(one(arrived, "lines"))
+
+
+EVENTS = ", ev AS (SELECT id, 5000000 - commit_lsn AS tx_id, seq, 'orders' AS tbl FROM fo UNION ALL SELECT id, 5000000 - commit_lsn, seq, 'lines' FROM arrived), stamped AS (SELECT ev.*, tx.commit_lsn FROM ev JOIN tx USING (tx_id))"
+EXPECTED = ", expected AS (SELECT commit_lsn, 'orders' AS tbl, n_orders AS expected FROM tx UNION ALL SELECT commit_lsn, 'lines', n_lines FROM tx), counts AS (SELECT commit_lsn, tbl, count(*) AS n FROM stamped GROUP BY 1, 2), complete AS (SELECT commit_lsn, bool_and(coalesce(n, 0) = expected) AS complete FROM expected LEFT JOIN counts USING (commit_lsn, tbl) GROUP BY 1)"
+
+
+def ends(tx: DataFrame) -> DataFrame:
+    """tx as END events, with the table counts as the topic has them."""
+    one = lambda tbl, n: F.struct(F.lit(tbl).alias("data_collection"), F.col(n).cast("int").alias("event_count"))
+    return tx.select("tx_id", "commit_lsn", F.array(one("orders", "n_orders"), one("lines", "n_lines")).alias("data_collections"))
+
+
+@query(EVENTS + " SELECT id, tbl, CAST(seq AS INTEGER) AS seq, tx_id, commit_lsn FROM stamped", "fo", "arrived", "tx")
+def tx_commit_lsn_fix(fo, arrived, tx):
+    return transactions.stamp_commit_lsn(arrived_events(fo, arrived), ends(tx)).select("id", "tbl", "seq", "tx_id", "commit_lsn")
+
+
+@query(EVENTS + " SELECT commit_lsn, tbl, count(*) AS n FROM stamped GROUP BY 1, 2", "fo", "arrived", "tx")
+def tx_event_counts(fo, arrived, tx):
+    return transactions.event_counts(transactions.stamp_commit_lsn(arrived_events(fo, arrived), ends(tx)))
+
+
+@query(EVENTS + EXPECTED + " SELECT * FROM complete", "fo", "arrived", "tx")
+def tx_completeness(fo, arrived, tx):
+    events = transactions.stamp_commit_lsn(arrived_events(fo, arrived), ends(tx))
+    return transactions.completeness(events, transactions.expected_counts(ends(tx)))
+
+
+@query(EVENTS + EXPECTED + " SELECT commit_lsn FROM (SELECT commit_lsn, bool_and(complete) OVER (ORDER BY commit_lsn) AS ok FROM complete) WHERE ok", "fo", "arrived", "tx")
+def tx_frontier(fo, arrived, tx):
+    events = transactions.stamp_commit_lsn(arrived_events(fo, arrived), ends(tx))
+    return transactions.frontier(transactions.completeness(events, transactions.expected_counts(ends(tx))))
+
+
+VERSIONS = """, ov AS (SELECT id, lsn, v, op, coalesce(lead(lsn) OVER (PARTITION BY id ORDER BY lsn), 9223372036854775807) AS nx FROM (SELECT id, commit_lsn AS lsn, v, op FROM fo QUALIFY row_number() OVER (PARTITION BY id, commit_lsn ORDER BY seq DESC) = 1)),
+ lv AS (SELECT order_id, id, lsn, q, op, coalesce(lead(lsn) OVER (PARTITION BY order_id, id ORDER BY lsn), 9223372036854775807) AS nx FROM (SELECT order_id, id, commit_lsn AS lsn, q, op FROM fl QUALIFY row_number() OVER (PARTITION BY id, commit_lsn ORDER BY seq DESC) = 1)),
+ touched AS (SELECT id AS order_id, commit_lsn FROM fo UNION SELECT order_id, commit_lsn FROM fl),
+ oa AS (SELECT t.order_id, t.commit_lsn, ov.op = 'd' AS deleted, ov.v FROM touched t JOIN ov ON ov.id = t.order_id AND ov.lsn <= t.commit_lsn AND t.commit_lsn < ov.nx WHERE ov.op <> 'd' OR ov.lsn = t.commit_lsn),
+ la AS (SELECT t.order_id, t.commit_lsn, lv.id AS line_id, lv.op AS line_op, lv.q AS line_q FROM touched t JOIN lv ON lv.order_id = t.order_id AND lv.lsn <= t.commit_lsn AND t.commit_lsn < lv.nx)"""
+AGG = " SELECT order_id, commit_lsn, deleted, v, count(CASE WHEN line_op <> 'd' AND NOT deleted THEN 1 END) AS n_lines, coalesce(string_agg(CASE WHEN line_op <> 'd' AND NOT deleted THEN CAST(line_id AS VARCHAR) || '=' || CAST(CAST(line_q AS BIGINT) AS VARCHAR) END, ',' ORDER BY line_id), '') AS lines FROM oa {how} JOIN la USING (order_id, commit_lsn) GROUP BY 1, 2, 3, 4"
+
+
+def flat_lines(df: DataFrame) -> DataFrame:
+    item = lambda x: F.concat_ws("=", x["id"].cast("string"), x["q"].cast("long").cast("string"))
+    return df.select("order_id", "commit_lsn", "deleted", "v", F.size("lines").cast("long").alias("n_lines"), F.concat_ws(",", F.transform("lines", item)).alias("lines"))
+
+
+@query(VERSIONS + " SELECT * FROM oa", "fo", "fl")
+def order_asof(fo, fl):
+    return txjoin.order_asof(fo, fl, ["v"])
+
+
+@query(VERSIONS + " SELECT * FROM la", "fo", "fl")
+def lines_asof(fo, fl):
+    return txjoin.lines_asof(fo, fl, ["q"]).withColumn("line_id", F.col("line_id").cast("long"))
+
+
+@query(VERSIONS + " SELECT order_id, commit_lsn, deleted, v, line_id, line_op, line_q FROM oa JOIN la USING (order_id, commit_lsn)", "fo", "fl")
+def tx_join_pairs(fo, fl):
+    return txjoin.pairs(fo, fl, ["v"], ["q"]).withColumn("line_id", F.col("line_id").cast("long"))
+
+
+@query(VERSIONS + AGG.format(how=""), "fo", "fl")
+def tx_order_agg(fo, fl):
+    return flat_lines(txjoin.nested(fo, fl, ["v"], ["q"]))
+
+
+@query(VERSIONS + AGG.format(how="LEFT"), "fo", "fl")
+def tx_order_agg_left(fo, fl):
+    return flat_lines(txjoin.nested(fo, fl, ["v"], ["q"], how="left"))
+
+
+@query(VERSIONS + " SELECT lpad(upper(to_hex(order_id)), 16, '0') AS key_hex, order_id, commit_lsn, deleted AS tombstone FROM (SELECT DISTINCT order_id, commit_lsn, deleted FROM oa JOIN la USING (order_id, commit_lsn))", "fo", "fl")
+def tx_order_tombstones(fo, fl):
+    t = txjoin.with_tombstones(txjoin.nested(fo, fl, ["v"], ["q"]), ["order_id", "v", "lines", "commit_lsn"])
+    return t.select(F.hex("key").alias("key_hex"), "order_id", "commit_lsn", F.col("value").isNull().alias("tombstone"))
+
+
+@query(" SELECT o_orderkey, count(b.id) AS n_lines, coalesce(string_agg(CAST(b.id AS VARCHAR), ',' ORDER BY b.id), '') AS lines FROM orders LEFT JOIN base b ON b.order_id = o_orderkey GROUP BY 1", "orders", "base")
+def order_nested_left_join(orders, base):
+    n = txjoin.nested_left_join(orders, base, "o_orderkey", "order_id", ["id", "q"])
+    return n.select("o_orderkey", F.size("lines").cast("long").alias("n_lines"), F.concat_ws(",", F.transform("lines", lambda x: x["id"].cast("string"))).alias("lines"))
+
+
+@query(" SELECT slot_name, plugin, db, CASE WHEN invalidation_reason IS NOT NULL THEN 'invalid' WHEN active IS TRUE THEN 'active' ELSE 'inactive' END AS status FROM slots", "slots")
+def slot_status(slots):
+    return reporting.slot_status(slots).select("slot_name", "plugin", "db", "status")
+
+
+@query(" SELECT * FROM (VALUES ('a', 1976, '1976 bytes', '50 GB'), ('b', 7659520, '7480 kB', '10239 kB'), ('c', 3010781185, '2871 MB', NULL), ('d', 4096, '4096 bytes', '10239 bytes')) AS t(slot_name, retained_bytes, retained_wal, safe_wal)".replace("retained_bytes, retained_wal, safe_wal)", "x, retained_wal, safe_wal)").replace("SELECT *", "SELECT slot_name, CAST(x AS BIGINT) AS retained_bytes, retained_wal, safe_wal"), "slots")
+def slot_wal_lag(slots):
+    return reporting.slot_lag(slots, CURRENT_LSN).select("slot_name", "retained_bytes", "retained_wal", "safe_wal")
+
+
+LABELLED = """, labelled AS (SELECT event_id, ts, value,
+ CASE WHEN raw LIKE 'kafka%' THEN 'kafka_connect_worker_metrics_task-count' WHEN raw LIKE '%RowsScanned' THEN 'debezium_metrics_RowsScanned'
+  ELSE 'debezium_metrics_' || regexp_extract(raw, '>([^:>]+)$', 1) END AS metric,
+ regexp_extract(raw, 'context=([^,>]+)', 1) AS context, regexp_extract(raw, 'server=([^,>]+)', 1) AS name, regexp_extract(raw, 'task=([^,>]+)', 1) AS task FROM raw)"""
+
+
+def labelled(raw: DataFrame) -> DataFrame:
+    return reporting.relabel(raw, "raw")
+
+
+@query(LABELLED + " SELECT event_id, metric, context, name, task FROM labelled", "raw")
+def metric_relabel(raw):
+    label = lambda k: F.coalesce(F.col("labels")[k], F.lit("")).alias(k)
+    return labelled(raw).select("event_id", "metric", label("context"), label("name"), label("task"))
+
+
+@query(LABELLED + " SELECT event_id, metric, value FROM labelled WHERE context = 'streaming'", "raw")
+def metric_label_filter(raw):
+    return reporting.where_label(labelled(raw), "context", "streaming").select("event_id", "metric", "value")
+
+
+@query(LABELLED + " SELECT metric, epoch(date_trunc('minute', ts))::BIGINT AS bucket_s, min(value) AS value FROM labelled GROUP BY 1, 2", "raw")
+def slot_activity_min_1m(raw):
+    m = reporting.min_over_time(labelled(raw), ["metric"])
+    return m.select("metric", F.unix_seconds(F.col("bucket").cast("timestamp")).alias("bucket_s"), "value")
+
+
+@query(" SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'Active' ELSE 'Inactive' END AS activity FROM events", "events")
+def value_mapping(events):
+    return events.select("event_id", reporting.activity(F.col("event_id") % 2).alias("activity"))
+
+
+@query(" SELECT o_orderkey, strftime(DATE '1970-01-01' + CAST(o_orderkey AS INTEGER), '%Y-%m-%d') AS day, md5(CAST(o_orderkey AS VARCHAR)) AS digest, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS padded FROM orders", "orders")
+def scalar_functions(orders):
+    k = F.col("o_orderkey")
+    return orders.select("o_orderkey", F.date_format(F.date_from_unix_date(k.cast("int")), "yyyy-MM-dd").alias("day"), F.md5(k.cast("string").cast("binary")).alias("digest"), F.lpad(k.cast("string"), 12, "0").alias("padded"))
+
+
+@query(" SELECT count(*) AS n FROM fl WHERE order_id NOT IN (SELECT id FROM fo)", "fo", "fl")
+def unmatched_lines(fo, fl):
+    return txjoin.unmatched_lines(fo, fl)
+
+
