@@ -8,7 +8,7 @@ its earliest point, and two texts share it with a probability equal to their wei
 of a batch advance together, and a process stops once its time exceeds the largest component of its text.
 
 Texts with equal multisets are one class. Signatures of classes are banded; in every bucket each class is compared with
-the bucket's smallest, which links a group of any size by as many pairs as it has members; after the components of these
+the bucket's smallest, a few bands at a time, which links a group of any size by as many pairs as it has members; after the components of these
 links are known, what shares a bucket but not a component is compared too. Every candidate pair is verified by the exact
 similarity of the two multisets. Groups are the connected components of the verified links, found by alternating
 large-star and small-star steps.
@@ -37,6 +37,8 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 #: Shared components below which a pair isn't verified: at 0.8, five standard deviations below the mean.
 LEAST = 0.6
+#: Bands whose stars are verified together; later turns skip pairs that are in one component by then.
+TURNS = ((0, 1), (1, 4), (4, BANDS))
 CACHE = 500_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -185,6 +187,13 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     return full.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long").distinct()
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, copy_of (smallest id with an equal multiset) and class_id (smallest id of the group), for each row."""
     small_batches(documents.sparkSession)
@@ -195,23 +204,30 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = cut(classes.groupBy("node").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bands").alias("bands")))
     members = cut(full.select("print", "doc_id").groupBy("print").agg(F.min("doc_id").alias("node")))
     # Buckets that hold one class only are dropped first: most are.
-    buckets = classes.select(F.explode("bands").alias("key"), "node", "n")
+    buckets = classes.select(F.posexplode("bands").alias("band", "key"), "node", "n")
     hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("key", "hub")
     shared = cut(buckets.join(hubs, "key"))
-    sizes = F.col("n")
     hub_n = classes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-    stars = shared.filter("node != hub").select("node", "hub", "n").distinct().join(hub_n, "hub")
-    stars = stars.filter(F.least(sizes, F.col("hub_n")) >= F.lit(THRESHOLD) * F.greatest(sizes, F.col("hub_n")))
-    links = cut(verified(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")), classes, texts))
-    roots = components(links)
+    every = shared.filter("node != hub").groupBy("node", "hub", "n").agg(F.min("band").alias("band")).join(hub_n, "hub")
+    stars = cut(every.filter(F.least("n", "hub_n") >= F.lit(THRESHOLD) * F.greatest("n", "hub_n")).select("node", "hub", "band"))
+    # Band by band, so that the first bands' components spare the others' pairs within them.
+    links = roots = tried = None
+    for lo, hi in TURNS:
+        new = stars.filter((F.col("band") >= lo) & (F.col("band") < hi)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        if roots is not None:
+            new = apart(new, roots)
+        new = cut(new)
+        found = cut(verified(new, classes, texts))
+        links, tried = (found, new) if links is None else (links.unionByName(found), tried.unionByName(new))
+        roots = cut(components(links))
     # Across components that share a bucket: few rows, as a group is one component by now.
     placed = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
     placed = cut(placed.join(mixed, "key", "left_semi"))
     p, q = placed.alias("p"), placed.alias("q")
     fits = (F.col("p.root") < F.col("q.root")) & (F.least("p.n", "q.n") >= F.lit(THRESHOLD) * F.greatest("p.n", "q.n"))
-    tried = stars.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
     rest = p.join(q, (F.col("p.key") == F.col("q.key")) & fits).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
+    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = rest.join(tried, ["a", "b"], "left_anti")
     more = cut(verified(rest, classes, texts))
     roots = components(links.unionByName(more))
