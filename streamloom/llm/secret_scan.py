@@ -4,7 +4,7 @@ A run is a maximal stretch of base-64 characters. Its encoding (hex, base 32, ba
 characters that it has. The battery tests it as a random string over that alphabet: chi-squared uniformity of the
 characters, a Wald-Wolfowitz runs test about the middle of the alphabet, and lag-one serial correlation; Fisher's
 method combines the three. A run that passes is weighed against the hypothesis that it is ordinary text of its
-document: the likelihood ratio of the uniform alphabet to the document's own characters is an e-value (its mean under
+document: the likelihood ratio of the uniform alphabet to the document's other characters is an e-value (its mean under
 that hypothesis is at most 1), and its reciprocal a valid p-value. The Benjamini-Hochberg procedure over the
 document's runs, with weights by length (a longer run can bear evidence, a short one can't), controls the share of
 false discoveries.
@@ -110,6 +110,17 @@ def discoveries(tests: list[tuple[float, int]], rate: float = RATE) -> list[bool
     return [p <= limit and p <= rate for p in scaled]
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of sorted spans."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind), by start, then kind in the order of KINDS."""
     spans: list[tuple[int, int, str]] = []
@@ -128,8 +139,8 @@ def scan(text: str) -> list[tuple[int, int, str]]:
                 found.append((m, code))
         if found:
             common = Counter(text)
-            for m, _ in found:
-                common.subtract(m[0])
+            for part in [m[0] for m, _ in found] + [text[a:b] for a, b in merged(taken)]:
+                common.subtract(part)
             n = sum(common.values())
             tests = [(text_p(m[0].rstrip("="), len(order), common, n) if battery(m[0].rstrip("="), order) >= LEVEL else 1.0, len(m[0])) for m, (_, order) in found]
             spans += [(m.start(), m.end(), "random") for (m, _), new in zip(found, discoveries(tests), strict=True) if new]
