@@ -8,9 +8,11 @@ its earliest point, and two texts share it with a probability equal to their wei
 of a batch advance together, and a process stops once its time exceeds the largest component of its text.
 
 Texts with equal multisets are one class. Signatures of classes are banded; in every bucket each class is compared with
-the bucket's smallest, a few bands at a time, which links a group of any size by as many pairs as it has members; after the components of these
-links are known, what shares a bucket but not a component is compared too. Every candidate pair is verified by the exact
-similarity of the two multisets. Groups are the connected components of the verified links, found by alternating
+the bucket's hub, the class with the most bucket mates overall, which links a group of any size by about as many pairs
+as it has members. After the components of these links are known, what shares a bucket but not a component is compared
+too, less the pairs that a parity bitmap of the two multisets rules out: the bits that differ are at most as many as
+the elements that do, so this bound loses nothing. It prunes texts of up to some thousand shingles; longer ones are left
+to the verification. Every candidate pair is verified by the exact similarity of the two multisets. Groups are the connected components of the verified links, found by alternating
 large-star and small-star steps.
 
 Words are lower-cased and split at white space. A text of one to four words is one shingle. Texts without words (null,
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.llm.common import cut, mix64, slices, small_batches, table, texts_of
@@ -37,8 +39,8 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 #: Shared components below which a pair isn't verified: at 0.8, five standard deviations below the mean.
 LEAST = 0.6
-#: Bands whose stars are verified together; later turns skip pairs that are in one component by then.
-TURNS = ((0, 1), (1, 4), (4, BANDS))
+#: Bits of the parity bitmap.
+BITS = 1024
 CACHE = 500_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,8 +130,16 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def parities(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """BITS bits as 64-bit integers: each tells if an odd number of the multiset's elements falls on it."""
+    x, n = bag
+    occurrence = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = mix64(np.repeat(x, n) + GOLDEN * (occurrence + 1).astype(np.uint64)) % np.uint64(BITS)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS) & 1).view(np.int64)
+
+
 def sketched(documents: DataFrame) -> DataFrame:
-    """doc_id, print (of the multiset; null without words), n (shingles), sig, bands."""
+    """doc_id, print (of the multiset; null without words), n (shingles), sig, bands, bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,9 +150,10 @@ def sketched(documents: DataFrame) -> DataFrame:
                 prints = [xxhash.xxh3_128_hexdigest(x.tobytes() + n.tobytes()) if len(x) else None for x, n in bags]
                 n = [int(m.sum()) for _, m in bags]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band_hashes(sig).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(prints, pa.string()), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), bands], names=["doc_id", "print", "n", "sig", "bands"])
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BITS // 64 + 1, BITS // 64, dtype=np.int32)), pa.array(np.concatenate([parities(x) for x in bags])))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(prints, pa.string()), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), bands, bits], names=["doc_id", "print", "n", "sig", "bands", "bits"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print string, n long, sig binary, bands array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print string, n long, sig binary, bands array<long>, bits array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,11 +198,12 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     return full.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long").distinct()
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-    both = pairs.join(x, "a", "left").join(y, "b", "left")
-    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+def may_link(p: str, q: str) -> Column:
+    """Whether the sizes and bitmaps of rows ``p`` and ``q`` allow a similarity of THRESHOLD."""
+    n, m = F.col(f"{p}.n"), F.col(f"{q}.n")
+    differ = sum((F.bit_count(F.col(f"{p}.bits")[i].bitwiseXOR(F.col(f"{q}.bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    fits = F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)
+    return fits & (differ <= (n + m) * F.lit((1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -200,35 +212,27 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows = cut(sketched(documents))
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text")
     full = rows.filter("print is not null and doc_id is not null")
-    classes = full.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bands").alias("bands"))
-    classes = cut(classes.groupBy("node").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bands").alias("bands")))
+    sketch = [F.min(c).alias(c) for c in ("n", "sig", "bands", "bits")]
+    classes = full.groupBy("print").agg(F.min("doc_id").alias("node"), *sketch)
+    classes = cut(classes.groupBy("node").agg(*sketch))
     members = cut(full.select("print", "doc_id").groupBy("print").agg(F.min("doc_id").alias("node")))
     # Buckets that hold one class only are dropped first: most are.
-    buckets = classes.select(F.posexplode("bands").alias("band", "key"), "node", "n")
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("key", "hub")
-    shared = cut(buckets.join(hubs, "key"))
-    hub_n = classes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-    every = shared.filter("node != hub").groupBy("node", "hub", "n").agg(F.min("band").alias("band")).join(hub_n, "hub")
-    stars = cut(every.filter(F.least("n", "hub_n") >= F.lit(THRESHOLD) * F.greatest("n", "hub_n")).select("node", "hub", "band"))
-    # Band by band, so that the first bands' components spare the others' pairs within them.
-    links = roots = tried = None
-    for lo, hi in TURNS:
-        new = stars.filter((F.col("band") >= lo) & (F.col("band") < hi)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        if roots is not None:
-            new = apart(new, roots)
-        new = cut(new)
-        found = cut(verified(new, classes, texts))
-        links, tried = (found, new) if links is None else (links.unionByName(found), tried.unionByName(new))
-        roots = cut(components(links))
-    # Across components that share a bucket: few rows, as a group is one component by now.
+    buckets = classes.select(F.explode(F.array_distinct("bands")).alias("key"), "node", "n")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = cut(buckets.join(sizes, "key"))
+    degrees = shared.groupBy("node").agg(F.sum("size").alias("degree"))
+    hubs = shared.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
+    stars = shared.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub.node").alias("b"), "n", F.col("hub.n").alias("m"))
+    stars = stars.filter((F.col("a") != F.col("b")) & (F.least("n", "m") >= F.lit(THRESHOLD) * F.greatest("n", "m"))).select("a", "b").distinct()
+    links = cut(verified(stars, classes, texts))
+    roots = cut(components(links))
+    # Across components that share a bucket: the join itself applies the bitmaps, so only pairs that may link are made.
     placed = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    placed = cut(placed.join(mixed, "key", "left_semi"))
+    placed = cut(placed.join(mixed, "key", "left_semi").join(classes.select("node", "bits"), "node"))
     p, q = placed.alias("p"), placed.alias("q")
-    fits = (F.col("p.root") < F.col("q.root")) & (F.least("p.n", "q.n") >= F.lit(THRESHOLD) * F.greatest("p.n", "q.n"))
-    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & fits).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
-    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = rest.join(tried, ["a", "b"], "left_anti")
+    near = (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root")) & may_link("p", "q")
+    rest = p.join(q, near).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
     more = cut(verified(rest, classes, texts))
     roots = components(links.unionByName(more))
     # Classes that share an id with another class of the same id are one node already.

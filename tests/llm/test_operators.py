@@ -203,3 +203,19 @@ def test_pipeline(spark):
     assert [n for n, _ in seen] == ["language_id", "near_dedup", "decontamination", "secret_scan", "packing"]
     assert seen[0][1] >= seen[1][1] >= seen[2][1] == seen[3][1] > 0
     assert docs.agg(F.sum("length")).first()[0] == docs.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_bitmaps_bound_the_difference_of_multisets():
+    rng = np.random.default_rng(3)
+    for size in (5, 40, 900):
+        words = [f"w{i}" for i in rng.integers(0, 30 if size == 40 else 500, size)]
+        for edits in (0, 1, size // 20, size // 4):
+            other = list(words)
+            for i in rng.integers(0, size, edits):
+                other[i] = "new"
+            a, b = near_dedup.bag_of(" ".join(words)), near_dedup.bag_of(" ".join(other))
+            _, i, j = np.intersect1d(a[0], b[0], return_indices=True)
+            differ = int(a[1].sum() + b[1].sum()) - 2 * int(np.minimum(a[1][i], b[1][j]).sum())
+            bits = sum(int(x).bit_count() for x in (near_dedup.parities(a) ^ near_dedup.parities(b)).view(np.uint64))
+            assert bits <= differ and bits % 2 == differ % 2
+    assert not near_dedup.parities(near_dedup.bag_of("")).any()
