@@ -24,6 +24,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,28 +63,49 @@ class Words(dict):
 _words = Words()
 
 
+def bags_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its shingles, sorted, and how often each occurs; all texts are hashed together."""
+    words = [t.lower().split() for t in texts]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.uint64, int(lengths.sum()))
+    h = np.concatenate([h, np.zeros(SHINGLE, np.uint64)])
+    width, counts = np.minimum(lengths, SHINGLE), np.where(lengths > 0, np.maximum(lengths - SHINGLE + 1, 1), 0)
+    ends = np.cumsum(counts)
+    at = np.arange(int(counts.sum())) + np.repeat(np.cumsum(lengths) - lengths - ends + counts, counts)
+    width = np.repeat(width, counts)
+    x = width.astype(np.uint64)
+    for k in range(SHINGLE):
+        y = mix64(x + GOLDEN) + h[at + k]
+        x = np.where(width > k, y, x) if len(width) and width.min() <= k else y
+    x = mix64(x)
+    new = np.ones(len(x), bool)
+    for lo, hi in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        x[lo:hi].sort()
+    new[1:] = x[1:] != x[:-1]
+    new[(ends - counts)[counts > 0]] = True
+    first = np.flatnonzero(new)
+    n, x = np.diff(np.append(first, len(x))), x[first]
+    split = np.searchsorted(first, ends).tolist()
+    return [(x[lo:hi], n[lo:hi]) for lo, hi in zip([0, *split[:-1]], split, strict=True)]
+
+
 def bag_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of a text, sorted, and how often each occurs."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - SHINGLE + 1)
-    x = np.full(n, np.uint64(min(len(h), SHINGLE)))
-    for k in range(min(len(h), SHINGLE)):
-        x = mix64(x + GOLDEN) + h[k : k + n]
-    return np.unique(mix64(x), return_counts=True)
+    return bags_of([text])[0]
 
 
-def overlap(a: str, b: str) -> float:
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The exact similarity of two multisets: the sum of minima over the sum of maxima."""
-    (x, n), (y, m) = bag_of(a), bag_of(b)
+    (x, n), (y, m) = a, b
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     both = int(np.minimum(n[i], m[j]).sum())
     total = int(n.sum() + m.sum()) - both
     return both / total if total else 0.0
 
 
+def overlap(a: str, b: str) -> float:
+    return alike(bag_of(a), bag_of(b))
+
+
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """(texts, SIZE) components as unsigned 32-bit integers; a text without shingles has zeros."""
     out = np.full((len(bags), SIZE), np.inf)
@@ -130,12 +152,18 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def parities(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """BITS bits as 64-bit integers: each tells if an odd number of the multiset's elements falls on it."""
-    x, n = bag
+def parities_of(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(texts, BITS / 64) 64-bit integers: each bit tells if an odd number of the multiset's elements falls on it."""
+    x, n = (np.concatenate([b[i] for b in bags]) for i in (0, 1))
     occurrence = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = mix64(np.repeat(x, n) + GOLDEN * (occurrence + 1).astype(np.uint64)) % np.uint64(BITS)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS) & 1).view(np.int64)
+    doc = np.repeat(np.arange(len(bags)), [int(b[1].sum()) for b in bags])
+    odd = np.bincount(doc * BITS + at.astype(np.int64), minlength=len(bags) * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(bags), BITS // 64)
+
+
+def parities(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return parities_of([bag])[0]
 
 
 def sketched(documents: DataFrame) -> DataFrame:
@@ -145,12 +173,12 @@ def sketched(documents: DataFrame) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column("doc_id"), texts_of(batch)
             for a, b in slices(texts):
-                bags = [bag_of(t) for t in texts[a:b]]
+                bags = bags_of(texts[a:b])
                 sig = signatures(bags)
                 prints = [xxhash.xxh3_128_hexdigest(x.tobytes() + n.tobytes()) if len(x) else None for x, n in bags]
                 n = [int(m.sum()) for _, m in bags]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band_hashes(sig).ravel()))
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BITS // 64 + 1, BITS // 64, dtype=np.int32)), pa.array(np.concatenate([parities(x) for x in bags])))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BITS // 64 + 1, BITS // 64, dtype=np.int32)), pa.array(parities_of(bags).ravel()))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(prints, pa.string()), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), bands, bits], names=["doc_id", "print", "n", "sig", "bands", "bits"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print string, n long, sig binary, bands array<long>, bits array<long>")
@@ -180,7 +208,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     x = classes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     y = classes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SIZE) for c in ("sig_a", "sig_b"))
             keep = pa.array((p == q).mean(axis=1) >= LEAST)
@@ -188,10 +216,15 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [overlap(p or "", q or "") >= THRESHOLD for p, q in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
+            left, right = texts_of(batch, "text_a"), texts_of(batch, "text_b")
+            keep: list[bool] = []
+            for a, b in slices(left):
+                own = list(dict.fromkeys(left[a:b] + right[a:b]))  # a hub's text comes many times
+                bags = dict(zip(own, bags_of(own), strict=True))
+                keep += [alike(bags[p], bags[q]) >= THRESHOLD for p, q in zip(left[a:b], right[a:b], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    likely = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a long, b long"))
+    likely = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(likely_of, "a long, b long"))
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = texts.join(wanted, "node", "left_semi")
     full = likely.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
