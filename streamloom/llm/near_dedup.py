@@ -187,22 +187,24 @@ def sketched(documents: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component), for each node of edges(a, b)."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    state = None
-    while True:
+    while not stars_only(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         e = cut(small.filter("u != v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
-            break
-        state = now
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def stars_only(edges: DataFrame) -> bool:
+    """Whether the distinct edges (u, v), u > v, are stars around their smallest node: then each u has one edge and is no v."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    tangled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)")
+    return tangled.isEmpty()
+
+
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough: first by signatures, then exactly by texts."""
     x = classes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
@@ -267,7 +269,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     near = (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root")) & may_link("p", "q")
     rest = p.join(q, near).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
     more = cut(verified(rest, classes, texts))
-    roots = components(links.unionByName(more))
+    # The new links join whole components, so only the components' roots are joined anew.
+    at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    across = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    top = cut(components(across)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    merged = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = top.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots.select("node"), "node", "left_anti")
+    roots = merged.unionByName(alone)
     # Classes that share an id with another class of the same id are one node already.
     named = members.join(roots, "node", "left").select("print", F.col("node").alias("copy_of"), F.coalesce("root", "node").alias("class_id"))
     out = rows.select("doc_id", "print").join(named, "print", "left")
