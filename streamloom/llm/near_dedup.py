@@ -43,6 +43,8 @@ LEAST = 0.6
 #: Bits of the parity bitmap.
 BITS = 1024
 CACHE = 500_000
+#: Ids of 8 bytes that may be broadcast.
+FEW = 100_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,7 +88,7 @@ def bags_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     first = np.flatnonzero(new)
     n, x = np.diff(np.append(first, len(x))), x[first]
     split = np.searchsorted(first, ends).tolist()
-    return [(x[lo:hi], n[lo:hi]) for lo, hi in zip([0, *split[:-1]], split, strict=True)]
+    return [(x[lo:hi], n[lo:hi]) for lo, hi in zip([0, *split], split, strict=False)]
 
 
 def bag_of(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -227,8 +229,9 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     likely = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(likely_of, "a long, b long"))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = texts.join(wanted, "node", "left_semi")
+    wanted = cut(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    # Few ids go to the texts, as their number has been counted; otherwise the texts are dealt to the ids.
+    held = texts.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "node", "left_semi")
     full = likely.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long").distinct()
 

@@ -219,3 +219,26 @@ def test_bitmaps_bound_the_difference_of_multisets():
             bits = sum(int(x).bit_count() for x in (near_dedup.parities(a) ^ near_dedup.parities(b)).view(np.uint64))
             assert bits <= differ and bits % 2 == differ % 2
     assert not near_dedup.parities(near_dedup.bag_of("")).any()
+
+
+def test_components(spark):
+    """A chain, random edges, loops and repeats against label propagation."""
+    rng = np.random.default_rng(5)
+    edges = [*map(tuple, rng.integers(0, 120, (90, 2)).tolist()), *((i, i + 1) for i in range(200, 240)), (7, 7), (200, 201)]
+    root = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == root and len(got) == len(root)
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shingles_of_a_batch():
+    texts = ["", "a", "a b c d", "a b c d e", "a b a b a b a b a b", "A  b\nc d e f", ""]
+    for t, (x, n) in zip(texts, near_dedup.bags_of(texts), strict=True):
+        alone, words = near_dedup.bag_of(t), t.lower().split()
+        want = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)) if words)
+        assert (alone[0] == x).all() and sorted(n.tolist()) == sorted(want.values())
+    assert near_dedup.bags_of([]) == []
