@@ -2,11 +2,13 @@
 
 Equal vectors are one node, kept with its smallest ids, so a vector that fills a third of the table costs no more than
 any other. Nodes that lie next to each other in the order of random projections form a shard of some thousand nodes.
-The first neighbour lists come from blocks of a few hundred nodes of a shard, in several such orders. Each round then
-joins every node with the vectors of its neighbours, forward and reverse, scores the pairs among them (they are
-neighbours of neighbours), and keeps the best of each node's candidates. A query visits the shards whose centres are
-nearest to it, up to PROBES, and searches the graph of each greedily from its entry nodes, in the worker that holds the
-shard; the best of all shards are scored again in double precision.
+The first neighbour lists come from blocks of a few hundred nodes, in several such orders, of a shard and of the whole
+table, so that edges cross shards. Each round then joins every node with the vectors of its neighbours, forward and
+reverse, scores the pairs among them (they are neighbours of neighbours), and keeps the best of each node's candidates.
+A query visits the shards whose centres are nearest to it, up to PROBES, and searches the edges within each greedily
+from its entry nodes, in the worker that holds the shard. From what it finds there, and from its own neighbours, it
+then walks the whole graph by joins until its best nodes have all been expanded; these are scored again in double
+precision.
 
 Nearness is the cosine in double precision. Vectors that are null, empty, zero, or that hold null or non-finite
 components take no part (vectors are compared with those of their own length only); nor do rows with a null id. Of rows with the same id the one with the smallest vector counts.
@@ -16,6 +18,7 @@ Ties go to the smaller id. Extra columns are ignored; an empty table gives an em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ K, REVERSE, ROUNDS, TREES, BLOCK = 20, 12, 3, 3, 400
 SHARD, MOST_SHARDS, PROBES = 8000, 20_000, 24
 #: Search in a shard: entry nodes, nodes expanded a step, nodes that the beam keeps, and nodes returned.
 ENTRIES, EXPAND, BEAM, RETURN = 64, 32, 256, 16
+#: Nodes that a query keeps, and expands, in the walk of the whole graph.
+FAR = 128
 SALTS = 32
 
 
@@ -151,14 +156,15 @@ def sharded(nodes: DataFrame) -> DataFrame:
 
 
 def build_graph(coded: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """node, nbrs, sims: approximate neighbour lists within each shard, by NN-descent."""
+    """node, nbrs, sims: approximate neighbour lists by NN-descent, across shards."""
     n = coded.count()
     parts = max(6, min(2000, -(-n // SHARD)))
-    edges = None
+    orders = []
     for t in range(TREES):
-        ordered = coded.select("node", "v", "shard", F.col("codes")[t].alias("code")).repartition(parts, "shard").sortWithinPartitions("shard", "code", "node")
-        e = ordered.mapInArrow(_blocks(k), "u long, w long, s float")
-        edges = e if edges is None else edges.unionByName(e)
+        orders.append(coded.select("node", "v", "shard", F.col("codes")[t].alias("code")).repartition(parts, "shard").sortWithinPartitions("shard", "code", "node"))
+        if t and n > SHARD:  # the shards are ranges in the first order
+            orders.append(coded.select("node", "v", F.col("dim").cast("long").alias("shard"), F.col("codes")[t].alias("code")).repartitionByRange(parts, "shard", "code", "node").sortWithinPartitions("shard", "code", "node"))
+    edges = reduce(DataFrame.unionByName, [o.mapInArrow(_blocks(k), "u long, w long, s float") for o in orders])
     graph = cut(best(edges, k, parts))
     vectors = coded.select("node", "v")
     for _ in range(rounds):
@@ -206,7 +212,9 @@ def _visit(key, shard, queries):
     lists = shard.column("links").to_pylist()
     links = np.full((len(nodes), max(map(len, lists)) or 1), -1, np.int64)
     for i, x in enumerate(lists):
-        links[i, : len(x)] = order[np.searchsorted(nodes, x, sorter=order)]
+        place = order[np.minimum(np.searchsorted(nodes, x, sorter=order), len(nodes) - 1)]
+        place = place[nodes[place] == x]  # the others lie in other shards
+        links[i, : len(place)] = place
     entries = order[np.linspace(0, len(nodes) - 1, min(ENTRIES, len(nodes))).astype(int)]
     at = {int(x): i for i, x in enumerate(nodes)}
     out_q, out_n = [], []
@@ -250,13 +258,41 @@ def cosine(a: str, b: str):
     return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a))) / F.sqrt(dot(F.col(b), F.col(b)))
 
 
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (query, q, node, v), vectors in half precision: query, node, s."""
+    for b in batches:
+        q, v = b.column("q").to_pylist(), b.column("v").to_pylist()
+        sizes, s = np.fromiter(map(len, q), np.int64, len(q)), np.zeros(len(q))
+        for size in np.unique(sizes):
+            own = np.nonzero(sizes == size)[0]
+            x, y = (np.frombuffer(b"".join(c[i] for i in own), np.float16).reshape(len(own), -1).astype(np.float64) for c in (q, v))
+            s[own] = np.einsum("ij,ij->i", x, y)
+        yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array(s, pa.float64())], names=["query", "node", "s"])
+
+
+def walked(links: DataFrame, vectors: DataFrame, asked: DataFrame, start: DataFrame) -> DataFrame:
+    """query, node: the FAR best nodes that each query reaches from ``start`` (query, node) over links (node, links)."""
+    own = Window.partitionBy("query").orderBy(F.desc("s"), "node")
+    new, state = start.distinct(), None
+    while True:
+        rows = new.join(vectors, "node").join(asked, "query").select("query", "q", "node", "v").mapInArrow(_scored, "query long, node long, s double").withColumn("done", F.lit(False))
+        rows = rows if state is None else rows.unionByName(state.withColumn("done", F.lit(True)))
+        state = cut(rows.withColumn("at", F.row_number().over(own)).filter(F.col("at") <= FAR).drop("at"))
+        turn = state.filter(~F.col("done"))
+        if turn.isEmpty():
+            return state.select("query", "node")
+        new = turn.join(links, "node").select("query", F.explode("links").alias("node")).distinct().join(state.select("query", "node"), ["query", "node"], "left_anti")
+
+
 def search(nodes: DataFrame, coded: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
     """query, node, score: the nodes that greedy search finds for each query (a node), scored exactly."""
     asked = queries.join(coded.select("node", "v"), "node").select(F.col("node").alias("query"), F.col("v").alias("q"))
     parts = max(6, min(2000, -(-coded.count() // SHARD)))
-    links = adjacency(graph, K, parts).groupBy("node").agg(F.collect_list("u").alias("links"))
+    links = cut(adjacency(graph, K, parts).groupBy("node").agg(F.collect_list("u").alias("links")))
     held = coded.select("shard", "node", "v").join(links, "node", "left").select("shard", "node", "v", F.coalesce("links", F.array().cast("array<bigint>")).alias("links"))
     found = held.groupBy("shard").cogroup(routed(coded, asked).groupBy("shard")).applyInArrow(_visit, "query long, node long")
+    found = found.unionByName(queries.select("node").join(links, "node").select(F.col("node").alias("query"), F.explode("links").alias("node")))
+    found = walked(links, coded.select("node", "v"), asked, found)
     vecs = nodes.select("node", "vec")
     found = found.join(vecs, "node").join(vecs.select(F.col("node").alias("query"), F.col("vec").alias("q")), "query")
     return cut(found.select("query", "node", cosine("q", "vec").alias("score")))
