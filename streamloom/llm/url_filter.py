@@ -5,8 +5,9 @@ Level by level from the root, a segment is generalised to a wildcard if it holds
 rare values at its node. Sibling branches whose labelled rates don't differ by a two-proportion test are merged with
 the rest of their node: a branch keeps its own rate only where it differs significantly, else it takes the node's.
 Rates are smoothed top-down: a branch's rate is drawn towards its parent's, a host's towards that of its registered
-domain, and that towards the whole corpus. A branch without any label isn't judged by its siblings' labels: it has the
-rate of the corpus, one half at most. A url is blocked if the smoothed blocked share of its deepest template exceeds
+domain, and that towards the whole corpus. A branch without any label takes the smoothed rate of its node where that is
+well supported and pure and labels cover at least half of the node's urls; a rule for one path of a host, which labels
+that path only, says nothing of the others. Elsewhere it has the rate of the corpus, one half at most. A url is blocked if the smoothed blocked share of its deepest template exceeds
 one half.
 
 The labels are the verdicts of the rules on the urls that they fit.
@@ -30,6 +31,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Levels of the tree, pseudo-counts of the parent's rate, values and mean count from which a node's rare values merge,
 #: and the squared z beyond which a branch differs from its node.
 DEPTH, PRIOR, MANY, RARE, DIFFERS = 3, 4.0, 20, 3.0, 6.63
+#: Labels, labelled share and purity from which a node's rate holds for its unlabelled branches.
+SUPPORT, COVER, PURE = 20, 0.5, 0.9
 
 
 def host_of(url: Column) -> Column:
@@ -70,13 +73,15 @@ def judge(pages: DataFrame, rules: tuple = RULES, depth: int = DEPTH) -> DataFra
 
     def rates(by: list[str], above: DataFrame | None, up: list[str], name: str) -> DataFrame:
         """Rate of each node under the key columns ``by``; nodes that don't differ from the one above take its rate."""
-        mine = stats.groupBy(*by).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m"))
-        mine = mine.join(above, up) if up else mine.select("*", F.lit(whole["above"]).alias("above"), F.lit(whole["base"]).alias("base"))
+        mine = stats.groupBy(*by).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m"), F.sum("n").alias("n"))
+        mine = mine.join(above, up) if up else mine.select("*", F.lit(whole["above"]).alias("above"), F.lit(whole["base"]).alias("base"), F.lit(False).alias("sure"))
         b, m, p = F.coalesce(F.col("b"), F.lit(0)), F.col("m"), F.col("above")
         expected = m * p
         differs = (b - expected) * (b - expected) > F.lit(DIFFERS) * F.greatest(expected * (1 - p), F.lit(0.25))
         smooth = (b + F.lit(PRIOR) * p) / (m + F.lit(PRIOR))
-        return mine.select(*by, "base", F.when(m == 0, F.col("base")).when(differs, smooth).otherwise(p).alias(name))
+        rate = F.when(m == 0, F.when(F.col("sure"), p).otherwise(F.col("base"))).when(differs, smooth).otherwise(p)
+        sure = F.when(m == 0, F.col("sure")).otherwise((m >= SUPPORT) & (m >= COVER * F.col("n")) & (F.greatest(rate, 1 - rate) >= PURE))
+        return mine.select(*by, "base", rate.alias(name), sure.alias("sure"))
 
     share = (F.coalesce(F.sum("label"), F.lit(0)) + 1.0) / (F.count("label") + 2.0)
     whole = found.agg(share.alias("above"), F.least(share, F.lit(0.5)).alias("base")).first()

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from streamloom.llm import ann
+from streamloom.llm import ann, url_filter
 
 
 def test_neighbours_beyond_the_probed_shards(spark, monkeypatch):
@@ -13,3 +13,12 @@ def test_neighbours_beyond_the_probed_shards(spark, monkeypatch):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     true = {(q, int(i)) for q in range(0, n, 100) for i in np.argsort(-np.where(np.arange(n) == q, -9, v @ v[q]))[:5]}
     assert len({(r["query_id"], r["vec_id"]) for r in got} & true) >= 0.9 * len(true)
+
+
+def test_tree_blocks_a_url_without_a_rule(spark):
+    rules = tuple(("bets.example.com", f"/{p}/", "block") for p in "abc") + (("example.com", "/de/", "block"), ("good.org", "/", "allow"))
+    urls = [f"http://bets.example.com/{p}/{i}" for p in "abc" for i in range(20)] + ["http://bets.example.com/d/1"]
+    urls += [f"http://www.example.com/de/{i}" for i in range(30)] + [f"http://www.example.com/fr/{i}" for i in range(40)] + [f"http://good.org/{i}" for i in range(90)]
+    got = {r["host"] + r["path"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got["bets.example.com/d/1"]["rule"] is None and got["bets.example.com/d/1"]["verdict"] == "block"
+    assert {got[f"www.example.com/fr/{i}"]["verdict"] for i in range(40)} == {"allow"}  # the rule for /de/ labels that path only
