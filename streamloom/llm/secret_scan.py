@@ -1,7 +1,8 @@
 """Secret scanning: fixed patterns, and a battery of randomness tests on every other long run of key characters.
 
 A run is a maximal stretch of base-64 characters. Its encoding (hex, base 32, base 36, base 64) is inferred from the
-characters that it has. The battery tests it as a random string over that alphabet: chi-squared uniformity of the
+characters that it has. A run that fits no alphabet, fails the battery, or touches a pattern's span is split at inner
+``=`` (a name and its key), and a part for which that holds again at ``/``, ``-`` and ``_`` (paths). The battery tests it as a random string over that alphabet: chi-squared uniformity of the
 characters, a Wald-Wolfowitz runs test about the middle of the alphabet, and lag-one serial correlation; Fisher's
 method combines the three. A run that passes is weighed against the hypothesis that it is ordinary text of its
 document: the likelihood ratio of the uniform alphabet to the document's other characters is an e-value (its mean under
@@ -32,6 +33,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+#: The parts of a run, in turn: at inner ``=`` (padding stays), then at every separator.
+SPLITS = (re.compile(r"[^=]+(?:=+$)?"), re.compile(r"[^=/_-]+"))
 KINDS = ("assign", "access", "hex", "random")
 #: Rate of false discoveries, level of the battery, and length at which a run has half of the full weight.
 RATE, LEVEL, HALF_LENGTH = 0.01, 1e-3, 24
@@ -110,6 +114,18 @@ def discoveries(tests: list[tuple[float, int]], rate: float = RATE) -> list[bool
     return [p <= limit and p <= rate for p in scaled]
 
 
+def keys_of(run: str, start: int, taken: list[tuple[int, int]], level: int = 0) -> list[tuple[int, int, str | None]]:
+    """The run or its parts to be weighed: start, end, and the alphabet, or none if the battery refuses it."""
+    end = start + len(run)
+    if len(run) < LEAST:
+        return []
+    code = encoding_of(run) if all(b <= start or a >= end for a, b in taken) else None
+    if code and battery(run.rstrip("="), code[1]) >= LEVEL:
+        return [(start, end, code[1])]
+    parts = [k for m in SPLITS[level].finditer(run) for k in keys_of(m[0], start + m.start(), taken, level + 1)] if level < len(SPLITS) else []
+    return parts or ([(start, end, None)] if code else [])
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of sorted spans."""
     out: list[tuple[int, int]] = []
@@ -135,15 +151,17 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         for m in runs:
             while i < len(taken) and taken[i][1] <= m.start():
                 i += 1
-            if (i == len(taken) or taken[i][0] >= m.end()) and (code := encoding_of(m[0])):
-                found.append((m, code))
+            j = i
+            while j < len(taken) and taken[j][0] < m.end():
+                j += 1
+            found += keys_of(m[0], m.start(), taken[i:j])
         if found:
             common = Counter(text)
-            for part in [m[0] for m, _ in found] + [text[a:b] for a, b in merged(taken)]:
-                common.subtract(part)
+            for a, b in [(a, b) for a, b, _ in found] + merged(taken):
+                common.subtract(text[a:b])
             n = sum(common.values())
-            tests = [(text_p(m[0].rstrip("="), len(order), common, n) if battery(m[0].rstrip("="), order) >= LEVEL else 1.0, len(m[0])) for m, (_, order) in found]
-            spans += [(m.start(), m.end(), "random") for (m, _), new in zip(found, discoveries(tests), strict=True) if new]
+            tests = [(text_p(text[a:b].rstrip("="), len(order), common, n) if order else 1.0, b - a) for a, b, order in found]
+            spans += [(a, b, "random") for (a, b, _), new in zip(found, discoveries(tests), strict=True) if new]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from streamloom.llm import ann, url_filter
+from streamloom.llm import ann, secret_scan, url_filter
 
 
 def test_neighbours_beyond_the_probed_shards(spark, monkeypatch):
@@ -22,3 +22,9 @@ def test_tree_blocks_a_url_without_a_rule(spark):
     got = {r["host"] + r["path"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
     assert got["bets.example.com/d/1"]["rule"] is None and got["bets.example.com/d/1"]["verdict"] == "block"
     assert {got[f"www.example.com/fr/{i}"]["verdict"] for i in range(40)} == {"allow"}  # the rule for /de/ labels that path only
+
+
+def test_keys_after_a_name_and_in_paths():
+    for key, text in (("9f8A2kLmQ0zXc7VbN4tYpR6wEuJ1sHdG", "auth={}"), ("wJalrXUtnF3MIK7MDENGbPxRf1CYz8Q4hT2k", "AWS_SECRET_ACCESS_KEY={}"), ("9f8A2kLmQ0zXc7VbN4tYpR6wEuJ1sHdG", "/home/some-user/my_data/{}/x")):
+        line = "a plain line of words before " + text.format(key) + " and after it"
+        assert [(line[a:b], k) for a, b, k in secret_scan.scan(line)] == [(key, "random")]
