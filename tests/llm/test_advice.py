@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from streamloom.llm import ann, secret_scan, url_filter
+from streamloom.llm import ann, lm_score, secret_scan, url_filter
 
 
 def test_neighbours_beyond_the_probed_shards(spark, monkeypatch):
@@ -28,3 +28,12 @@ def test_keys_after_a_name_and_in_paths():
     for key, text in (("9f8A2kLmQ0zXc7VbN4tYpR6wEuJ1sHdG", "auth={}"), ("wJalrXUtnF3MIK7MDENGbPxRf1CYz8Q4hT2k", "AWS_SECRET_ACCESS_KEY={}"), ("9f8A2kLmQ0zXc7VbN4tYpR6wEuJ1sHdG", "/home/some-user/my_data/{}/x")):
         line = "a plain line of words before " + text.format(key) + " and after it"
         assert [(line[a:b], k) for a, b, k in secret_scan.scan(line)] == [(key, "random")]
+
+
+def test_a_unit_depends_on_the_unit_before():
+    a, b = (lm_score.bits_of([k]) for k in (b"red apple ", b"sky apple "))
+    alone = lm_score.bits_of([b"apple "])
+    assert (a[0] == b[0]).all() and len(a[0]) == len(alone[0]) == 48
+    assert [(a[2][:, i] == b[2][:, i]).all() for i in (0, 5, 6)] == [True, False, True] and (a[2][:, 6] == alone[2][:, 6]).all()
+    assert (a[2][0, 1:5] != b[2][0, 1:5]).any()  # bytes across the space
+    assert lm_score.pairs_of(b"a b c") == [b"a ", b"a b ", b"b c\xff"]
