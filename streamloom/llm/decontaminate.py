@@ -12,7 +12,8 @@ Windows have eight words, of which four at least must be plain (an item that has
 windows); an item shorter than that is one window of all its words, looked up among windows of that length.
 
 Null texts read as empty. Empty documents and empty items match nothing. Rows with a null id take part, and their
-matches carry the null. Rows with the same id are scanned each for itself and reported once. Every match that reaches
+matches carry the null. Rows with the same id, of documents or of the benchmark, are compared each for itself and
+reported once, by the best match. Every match that reaches
 the threshold is returned, so ties need no rule. Extra columns are ignored; empty tables give an empty result.
 """
 
@@ -68,8 +69,9 @@ def inconsistent(hits: DataFrame, rows: DataFrame, items: DataFrame, hint) -> Da
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER) -> DataFrame:
     """doc_id, item_id, windows found, windows of the item, and their ratio, for each contaminated document."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).groupBy("item_id").agg(F.min("text").alias("text"))
-    items = items.select("item_id", template(F.col("text")).alias("words"), words(F.col("text")).alias("said")).withColumn("size", F.least(F.size("words"), F.lit(window))).filter("size > 0")
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("key", F.xxhash64("item_id", "text"))
+    names = items.select(F.col("key").alias("n_key"), F.col("item_id").alias("name"))
+    items = items.select(F.col("key").alias("item_id"), template(F.col("text")).alias("words"), words(F.col("text")).alias("said")).withColumn("size", F.least(F.size("words"), F.lit(window))).filter("size > 0")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # ``window`` values at most
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     docs = rows.select("doc_id", "row", template(F.col("text")).alias("words"))
@@ -91,7 +93,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     counts = found.join(broken, same, "left_anti").groupBy("doc_id", "row", "item_id").agg(F.countDistinct("item_at").alias("found"))
     t = reduce(DataFrame.unionByName, totals).select(F.col("item_id").alias("t_id"), "windows")
     out = counts.join(hint(t), F.col("item_id").eqNullSafe(F.col("t_id"))).filter(F.col("found") >= F.lit(cover) * F.col("windows"))
-    out = out.groupBy("doc_id", "item_id").agg(F.max("found").alias("found"), F.max("windows").alias("windows"))
+    out = out.join(hint(names), F.col("item_id") == F.col("n_key")).groupBy("doc_id", F.col("name").alias("item_id"))
+    out = out.agg(F.max(F.struct((F.col("found") / F.col("windows")).alias("share"), "found", "windows")).alias("top")).select("doc_id", "item_id", "top.found", "top.windows")
     return out.withColumn("share", F.round(F.col("found") / F.col("windows"), 6))
 
 

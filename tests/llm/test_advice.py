@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from streamloom.llm import ann, lm_score, secret_scan, url_filter
+from streamloom.llm import ann, decontaminate, lm_score, secret_scan, url_filter
 
 
 def test_neighbours_beyond_the_probed_shards(spark, monkeypatch):
@@ -37,3 +37,12 @@ def test_a_unit_depends_on_the_unit_before():
     assert [(a[2][:, i] == b[2][:, i]).all() for i in (0, 5, 6)] == [True, False, True] and (a[2][:, 6] == alone[2][:, 6]).all()
     assert (a[2][0, 1:5] != b[2][0, 1:5]).any()  # bytes across the space
     assert lm_score.pairs_of(b"a b c") == [b"a ", b"a b ", b"b c\xff"]
+
+
+def test_items_that_share_an_id(spark):
+    a = "the slow river carried old wooden boats past quiet villages while children waved from every bridge"
+    b = "seven bakers argued about flour and butter until somebody finally opened the heavy oven door again"
+    bench = spark.createDataFrame([(1, a), (1, b), (None, a + " once more"), (None, b + " and left")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before it {a} after"), (2, f"before it {b} after"), (3, "nothing of this kind is found in a text like the present one at all")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["share"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert {(1, 1, 1.0), (2, 1, 1.0)} <= got and {d for d, i, _ in got if i is None} == {1, 2} and not any(d == 3 for d, _, _ in got)
