@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts of 100 KB then take some 100 MB at most.
 BATCH_ROWS = 1000
+#: Partitions up to which one task adds up a block's rows.
+FEW_PARTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,18 +96,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def summed_blocks(parts: DataFrame, dtype: str = "int64") -> dict[int, np.ndarray]:
-    """Add up dense count blocks: rows (block int, counts binary) by block, on the executors.
+def added_blocks(parts: DataFrame, read: Callable[[bytes], np.ndarray], dtype: type | str) -> DataFrame:
+    """Rows (block int, counts binary) added up by block on the executors, as arrays of ``dtype``.
 
-    The result has one array a block. Its size is set by the model's fixed table size, never by the input.
+    ``read`` gives the array of an input row. Rows are added as they stream in, so a task holds one sum for each of its
+    blocks and never a block's rows; where many partitions send rows, first within salted shares of a block.
     """
 
-    def add(key, rows):
-        total = None
-        for raw in rows.column("counts").to_pylist():
-            x = np.frombuffer(raw, dtype)
-            total = x.astype(dtype) if total is None else total + x
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def adding(read):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            for b in batches:
+                for block, raw in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                    if block in totals:
+                        totals[block] += read(raw)
+                    else:
+                        totals[block] = read(raw).astype(dtype)
+            for block, total in totals.items():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+
+        return run
+
+    schema = "block int, counts binary"
+    sending = parts._jdf.queryExecution().toRdd().getNumPartitions()
+    if sending > FEW_PARTS:
+        salts = int(sending**0.5)
+        parts = parts.withColumn("salt", F.spark_partition_id() % salts).repartition("block", "salt").select("block", "counts").mapInArrow(adding(read), schema)
+        read = lambda raw: np.frombuffer(raw, dtype)
+    return parts.repartition("block").mapInArrow(adding(read), schema)
+
 
-    rows = parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+def summed_blocks(parts: DataFrame, dtype: str = "int64") -> dict[int, np.ndarray]:
+    """Add up dense count blocks and fetch the sums: one array a block, its size set by the model's, never by the input."""
+    rows = added_blocks(parts, lambda raw: np.frombuffer(raw, dtype), dtype).collect()
     return {r["block"]: np.frombuffer(bytes(r["counts"]), dtype) for r in rows}

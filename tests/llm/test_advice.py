@@ -30,13 +30,12 @@ def test_keys_after_a_name_and_in_paths():
         assert [(line[a:b], k) for a, b, k in secret_scan.scan(line)] == [(key, "random")]
 
 
-def test_a_unit_depends_on_the_unit_before():
-    a, b = (lm_score.bits_of([k]) for k in (b"red apple ", b"sky apple "))
-    alone = lm_score.bits_of([b"apple "])
-    assert (a[0] == b[0]).all() and len(a[0]) == len(alone[0]) == 48
-    assert [(a[2][:, i] == b[2][:, i]).all() for i in (0, 5, 6)] == [True, False, True] and (a[2][:, 6] == alone[2][:, 6]).all()
-    assert (a[2][0, 1:5] != b[2][0, 1:5]).any()  # bytes across the space
-    assert lm_score.pairs_of(b"a b c") == [b"a ", b"a b ", b"b c\xff"]
+def test_contexts_reach_over_white_space():
+    a, b, alone = (lm_score.contexts_of(*lm_score.joined([t])) for t in (b"red apple ", b"sky apple ", b"apple "))
+    names = list(lm_score.CONTEXTS)
+    unit, pair, two = names.index("unit"), names.index("pair"), names.index(2)
+    assert (a[unit][4:] == b[unit][4:]).all() and (a[unit][4:] == alone[unit]).all()
+    assert (a[pair][4:-1] != b[pair][4:-1]).all() and (a[two][4:] != alone[two]).any()
 
 
 def test_items_that_share_an_id(spark):

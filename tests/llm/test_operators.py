@@ -142,17 +142,110 @@ def test_lm(docs, none):
         words = [*x.encode().lower().split(), None]
         assert got[i]["train_tokens"] == n and got[i]["n_tokens"] == len(words) and got[i]["n_known"] == sum(counts[w] > 0 for w in words)
         assert math.isclose(got[i]["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
-        assert got[i]["score"] < 0
+        assert got[i]["score"] < 0 and math.isclose(got[i]["bits_per_byte"], -got[i]["score"] * math.log2(10) / max(1, len(x.encode())))
     assert lm_score.score(none, F.lit(True)).count() == 0
 
 
+def lm_model(texts, seed=0):
+    rng = np.random.default_rng(seed)
+    sizes = [16] * len(lm_score.CONTEXTS)
+    counts = [np.zeros(2 << k, np.uint32) for k in sizes]
+    lm_score.counts_into(counts, texts, sizes)
+    weights = rng.normal(0.2, 0.1, (lm_score.GATES, lm_score.INPUTS)).astype(np.float32)
+    return lm_score.Model(sizes, [lm_score.states_of(c) for c in counts], np.stack([lm_score.map_of_states(c) for c in counts]), weights), counts
+
+
 def test_lm_is_a_distribution():
-    """The probabilities of all continuations of a unit add up to one."""
-    rng = np.random.default_rng(0)
-    size = int(lm_score.OFFSETS[-1])
-    m = lm_score.Model(rng.integers(0, 5, size).astype(np.float32), rng.integers(0, 5, size).astype(np.float32))
-    p = 10 ** m.log10([b"ab" + bytes([i]) for i in range(256)]) / 10 ** m.log10([b"ab"])
-    assert abs(p.sum() - 1) < 1e-4
+    """The probabilities of all next bytes add up to one."""
+    m, _ = lm_model([b"ab abc abd the abba abb", b"abz"])
+    m.refined += np.random.default_rng(1).normal(0, 0.3, m.refined.shape).astype(np.float32)
+    data, lengths = lm_score.joined([b"ab " * 60 + b"ab" + bytes([i]) for i in range(256)])
+    total = 0.0
+    for i in range(256):
+        a = m.log10([b"ab " * 60 + b"ab" + bytes([i])], [False])[0]
+        total += 10 ** (a - lm_slow(m, b"ab " * 60 + b"ab" + bytes([i]), False, only_end=True))
+    whole = lm_slow(m, b"ab " * 60 + b"ab", False) - lm_slow(m, b"ab " * 60 + b"ab", False, only_end=True)
+    assert abs(total / 10**whole - 1) < 1e-3
+
+
+def lm_slow(m, text, counted, only_end=False):
+    """log10 of a text's probability bit by bit, in plain Python; or of its end byte only."""
+    u32 = lambda x: x & 0xFFFFFFFF
+    data, out, end = [*text, 255], 0.0, 0.0
+    change, shift = [0.0] * lm_score.INPUTS, [0.0] * lm_score.STEPS
+    gradient, missed, weight = [0.0] * lm_score.INPUTS, [0.0] * lm_score.STEPS, [0.0] * lm_score.STEPS
+    contexts = lm_score.contexts_of(*lm_score.joined([text]))
+    run = 0
+    last_before = None
+    for j, byte in enumerate(data):
+        last = next((k for k in range(j - 1, lm_score.REPEAT - 1, -1) if data[k - lm_score.REPEAT : k] == data[j - lm_score.REPEAT : j]), None) if j >= lm_score.REPEAT else None
+        run = run + 1 if last is not None and last_before is not None and last == last_before + 1 else 0
+        level, last_before = (0 if last is None else 1 + min(int(math.log2(run + 1)), 6)), last
+        for k in range(8):
+            so_far, y = (1 << k) | (byte >> (8 - k)), byte >> (7 - k) & 1
+            half, node = (0, so_far) if k < 4 else (1, (1 << (k - 4)) | ((byte & 15) >> (8 - k)))
+            s, seen = [], []
+            for i, h in enumerate(contexts):
+                x = u32(int(h[j]) * 0x9E3779B1)
+                x = u32((x ^ (x >> 15)) * 0x27D4EB2F)
+                if half:
+                    x = u32((x ^ u32(((byte >> 4) + 1) * 0xC2B2AE35)) * 0x9E3779B1)
+                    x = u32((x ^ (x >> 15)) * 0x27D4EB2F)
+                state = int(m.states[i][((x >> (36 - m.sizes[i])) << 4) + node]) + (256 * (1 + y) if counted else 0)
+                s.append(float(m.logit[i][state]))
+                seen.append(int(m.level[state]))
+            agrees = level > 0 and (data[last] >> (8 - k)) == (byte >> (8 - k))
+            s += [(2 * (data[last] >> (7 - k) & 1) - 1) * level * 0.7 if agrees else 0.0, 1.0]
+            gate = seen[-1] * 4 + seen[-2] + 16 * agrees
+            x = sum((float(m.weights[gate, i]) + change[i] + float(m.weights[32 + so_far, i])) * s[i] for i in range(lm_score.INPUTS))
+            x = min(max(x, -11.99), 11.99)
+            step = int((x + 12) * (lm_score.STEPS / 24))
+            z = (x + float(m.refined[so_far, step])) / 2 + shift[step]
+            p, q = 1 / (1 + math.exp(-z)), 1 / (1 + math.exp(-x))
+            got = math.log10(p if y else 1 - p)
+            out, end = out + got, end + (got if j == len(data) - 1 else 0)
+            gradient = [g + (y - q) * v for g, v in zip(gradient, s, strict=True)]
+            missed[step] += y - p
+            weight[step] += p * (1 - p)
+        if (j + 1) % lm_score.STEP_BYTES == 0:
+            change = [c + lm_score.RATE * g / math.sqrt(lm_score.STEP_BYTES * 8) for c, g in zip(change, gradient, strict=True)]
+            shift = [c + lm_score.MAP_RATE * a / (b + 8) for c, a, b in zip(shift, missed, weight, strict=True)]
+            gradient, missed, weight = [0.0] * lm_score.INPUTS, [0.0] * lm_score.STEPS, [0.0] * lm_score.STEPS
+    return end if only_end else out
+
+
+def test_lm_score_bit_by_bit():
+    texts = [b"", b"the cat sat on the mat and the dog sat on the cat", b"x" * 300, ("die K\u00f6nigin \u00fcber alles, die K\u00f6nigin " * 8).encode(), b"one two one two three " * 20]
+    m, _ = lm_model(texts[1:4])
+    for counted in (False, True):
+        got = m.log10(texts, [counted] * len(texts))
+        assert np.allclose(got, [lm_slow(m, t, counted) for t in texts], rtol=1e-3)
+    a, b = m.log10([b"the cat sat on the mat ", b"mat the on sat cat the "], [False] * 2)
+    assert a != b
+
+
+def test_lm_counts():
+    """Each occurrence of a bit in a context is one count; states of a slot less one occurrence are those of its counts."""
+    texts = [b"abab", b"", b"aXab\xc3\xa9"]
+    m, counts = lm_model(texts)
+    assert all(int(c.sum()) == 8 * (sum(map(len, texts)) + 3) for c in counts)
+    assert (m.events.sum(axis=(1, 2)) == 8 * (sum(map(len, texts)) + 3)).all()
+    n = np.array([0, 0, 3, 1, 20, 1, 500, 400], np.uint32)
+    states = lm_score.states_of(n).tolist()
+    assert [lm_score.PAIRS[k] for k in states[:2]] == [(0, 0), (3, 1)] and len(lm_score.PAIRS) <= states[2] < states[3]
+    assert lm_score.small(np.array([1000, 1, 0, 3], np.uint32), 255, np.uint8).tolist() == [255, 1, 0, 3]
+
+
+def test_lm_repeats_and_growth(spark):
+    """A text that occurs twice scores better than one that occurs once; the tables follow the input."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 120)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:10]])]
+    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 0).collect()}
+    rate = lambda i: got[i]["bits_per_byte"]
+    assert max(rate(i) for i in range(10)) < min(rate(i) for i in range(10, 60))
+    assert lm_score.sizes_of(10) < lm_score.sizes_of(10**5) < lm_score.sizes_of(10**7)
 
 
 def test_near_duplicates(docs, none):
