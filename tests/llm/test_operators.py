@@ -149,69 +149,62 @@ def test_lm(docs, none):
 def lm_model(texts, seed=0):
     rng = np.random.default_rng(seed)
     sizes = [16] * len(lm_score.CONTEXTS)
+    code = lm_score.Code(np.bincount(np.frombuffer(b"".join(t + lm_score.END for t in texts), np.uint8), minlength=256))
     counts = [np.zeros(2 << k, np.uint32) for k in sizes]
-    lm_score.counts_into(counts, texts, sizes)
+    lm_score.counts_into(counts, code, texts, sizes)
     weights = rng.normal(0.2, 0.1, (lm_score.GATES, lm_score.INPUTS)).astype(np.float32)
-    return lm_score.Model(sizes, [lm_score.states_of(c) for c in counts], np.stack([lm_score.map_of_states(c) for c in counts]), weights), counts
+    return lm_score.Model(code, sizes, [lm_score.states_of(c) for c in counts], np.stack([lm_score.map_of_states(c) for c in counts]), weights), counts
 
 
-def test_lm_is_a_distribution():
-    """The probabilities of all next bytes add up to one."""
-    m, _ = lm_model([b"ab abc abd the abba abb", b"abz"])
-    m.refined += np.random.default_rng(1).normal(0, 0.3, m.refined.shape).astype(np.float32)
-    data, lengths = lm_score.joined([b"ab " * 60 + b"ab" + bytes([i]) for i in range(256)])
-    total = 0.0
-    for i in range(256):
-        a = m.log10([b"ab " * 60 + b"ab" + bytes([i])], [False])[0]
-        total += 10 ** (a - lm_slow(m, b"ab " * 60 + b"ab" + bytes([i]), False, only_end=True))
-    whole = lm_slow(m, b"ab " * 60 + b"ab", False) - lm_slow(m, b"ab " * 60 + b"ab", False, only_end=True)
-    assert abs(total / 10**whole - 1) < 1e-3
-
-
-def lm_slow(m, text, counted, only_end=False):
-    """log10 of a text's probability bit by bit, in plain Python; or of its end byte only."""
+def lm_slow(m, text, counted):
+    """log10 of a text's probability and of its last byte's and its end byte's, bit by bit, in plain Python."""
     u32 = lambda x: x & 0xFFFFFFFF
-    data, out, end = [*text, 255], 0.0, 0.0
-    change, shift = [0.0] * lm_score.INPUTS, [0.0] * lm_score.STEPS
-    gradient, missed, weight = [0.0] * lm_score.INPUTS, [0.0] * lm_score.STEPS, [0.0] * lm_score.STEPS
+    data, each = [*text, 255], []
+    change, shift = [0.0] * lm_score.INPUTS, 0.0
+    gradient, missed, weight, n = [0.0] * lm_score.INPUTS, 0.0, 0.0, 0
     contexts = lm_score.contexts_of(*lm_score.joined([text]))
-    run = 0
-    last_before = None
+    run, last_before = 0, None
     for j, byte in enumerate(data):
         last = next((k for k in range(j - 1, lm_score.REPEAT - 1, -1) if data[k - lm_score.REPEAT : k] == data[j - lm_score.REPEAT : j]), None) if j >= lm_score.REPEAT else None
         run = run + 1 if last is not None and last_before is not None and last == last_before + 1 else 0
-        level, last_before = (0 if last is None else 1 + min(int(math.log2(run + 1)), 6)), last
-        for k in range(8):
-            so_far, y = (1 << k) | (byte >> (8 - k)), byte >> (7 - k) & 1
-            half, node = (0, so_far) if k < 4 else (1, (1 << (k - 4)) | ((byte & 15) >> (8 - k)))
+        level, last_before, got = (0 if last is None else 1 + min(int(math.log2(run + 1)), 6)), last, 0.0
+        for k in range(m.code.length[byte]):
+            at = m.code.start[byte] + k
+            node, y = int(m.code.node[at]), int(m.code.bit[at])
             s, seen = [], []
             for i, h in enumerate(contexts):
-                x = u32(int(h[j]) * 0x9E3779B1)
-                x = u32((x ^ (x >> 15)) * 0x27D4EB2F)
-                if half:
-                    x = u32((x ^ u32(((byte >> 4) + 1) * 0xC2B2AE35)) * 0x9E3779B1)
-                    x = u32((x ^ (x >> 15)) * 0x27D4EB2F)
-                state = int(m.states[i][((x >> (36 - m.sizes[i])) << 4) + node]) + (256 * (1 + y) if counted else 0)
+                state = int(m.states[i][u32(int(h[j]) + int(m.code.hash[at])) >> (32 - m.sizes[i])]) + (256 * (1 + y) if counted else 0)
                 s.append(float(m.logit[i][state]))
                 seen.append(int(m.level[state]))
-            agrees = level > 0 and (data[last] >> (8 - k)) == (byte >> (8 - k))
-            s += [(2 * (data[last] >> (7 - k) & 1) - 1) * level * 0.7 if agrees else 0.0, 1.0]
+            other = m.code.start[data[last]] + k if level and k < m.code.length[data[last]] else None
+            agrees = other is not None and int(m.code.node[other]) == node
+            s += [float(m.code.logit[at]), (2 * int(m.code.bit[other]) - 1) * level * 0.7 if agrees else 0.0, 1.0]
             gate = seen[-1] * 4 + seen[-2] + 16 * agrees
-            x = sum((float(m.weights[gate, i]) + change[i] + float(m.weights[32 + so_far, i])) * s[i] for i in range(lm_score.INPUTS))
+            x = sum((float(m.weights[gate, i]) + change[i] + float(m.weights[lm_score.SEEN + node, i])) * s[i] for i in range(lm_score.INPUTS))
             x = min(max(x, -11.99), 11.99)
-            step = int((x + 12) * (lm_score.STEPS / 24))
-            z = (x + float(m.refined[so_far, step])) / 2 + shift[step]
-            p, q = 1 / (1 + math.exp(-z)), 1 / (1 + math.exp(-x))
-            got = math.log10(p if y else 1 - p)
-            out, end = out + got, end + (got if j == len(data) - 1 else 0)
-            gradient = [g + (y - q) * v for g, v in zip(gradient, s, strict=True)]
-            missed[step] += y - p
-            weight[step] += p * (1 - p)
-        if (j + 1) % lm_score.STEP_BYTES == 0:
-            change = [c + lm_score.RATE * g / math.sqrt(lm_score.STEP_BYTES * 8) for c, g in zip(change, gradient, strict=True)]
-            shift = [c + lm_score.MAP_RATE * a / (b + 8) for c, a, b in zip(shift, missed, weight, strict=True)]
-            gradient, missed, weight = [0.0] * lm_score.INPUTS, [0.0] * lm_score.STEPS, [0.0] * lm_score.STEPS
-    return end if only_end else out
+            z = (x + float(m.refined[node, int((x + 12) * (lm_score.STEPS / 24))])) / 2 + shift
+            p = 1 / (1 + math.exp(-z))
+            got += math.log10(p if y else 1 - p)
+            gradient = [g + (y - p) * v for g, v in zip(gradient, s, strict=True)]
+            missed, weight, n = missed + y - p, weight + p * (1 - p), n + 1
+        each.append(got)
+        if (j + 1) % lm_score.STEP == 0:
+            change = [c + lm_score.RATE * g / math.sqrt(n) for c, g in zip(change, gradient, strict=True)]
+            shift += lm_score.MAP_RATE * missed / (weight + 8)
+            gradient, missed, weight, n = [0.0] * lm_score.INPUTS, 0.0, 0.0, 0
+    return sum(each), each
+
+
+def test_lm_is_a_distribution():
+    """The probabilities of all bytes at a place add up to one, before and after the weights have followed the text."""
+    m, _ = lm_model([b"ab abc abd the abba abb", b"abz"])
+    m.refined += np.random.default_rng(1).normal(0, 0.3, m.refined.shape).astype(np.float32)
+    for start in (b"ab", b"ab " * 90 + b"ab"):
+        total = 0.0
+        for i in range(256):
+            fast, (_, each) = m.log10([start + bytes([i])], [False])[0], lm_slow(m, start + bytes([i]), False)
+            total += 10 ** (fast - sum(each[: len(start)]) - each[-1])
+        assert abs(total - 1) < 2e-3
 
 
 def test_lm_score_bit_by_bit():
@@ -219,17 +212,18 @@ def test_lm_score_bit_by_bit():
     m, _ = lm_model(texts[1:4])
     for counted in (False, True):
         got = m.log10(texts, [counted] * len(texts))
-        assert np.allclose(got, [lm_slow(m, t, counted) for t in texts], rtol=1e-3)
+        assert np.allclose(got, [lm_slow(m, t, counted)[0] for t in texts], rtol=1e-3)
     a, b = m.log10([b"the cat sat on the mat ", b"mat the on sat cat the "], [False] * 2)
     assert a != b
 
 
 def test_lm_counts():
     """Each occurrence of a bit in a context is one count; states of a slot less one occurrence are those of its counts."""
-    texts = [b"abab", b"", b"aXab\xc3\xa9"]
+    texts = [b"abab", b"", b"aXab\xc3\xa9" * 3]
     m, counts = lm_model(texts)
-    assert all(int(c.sum()) == 8 * (sum(map(len, texts)) + 3) for c in counts)
-    assert (m.events.sum(axis=(1, 2)) == 8 * (sum(map(len, texts)) + 3)).all()
+    bits = sum(int(m.code.length[x]) for t in texts for x in [*t, 255])
+    assert all(int(c.sum()) == bits for c in counts) and (m.events.sum(axis=(1, 2)) == bits).all()
+    assert sum(2.0 ** -int(x) for x in m.code.length) == 1.0
     n = np.array([0, 0, 3, 1, 20, 1, 500, 400], np.uint32)
     states = lm_score.states_of(n).tolist()
     assert [lm_score.PAIRS[k] for k in states[:2]] == [(0, 0), (3, 1)] and len(lm_score.PAIRS) <= states[2] < states[3]
