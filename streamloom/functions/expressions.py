@@ -51,3 +51,31 @@ def epoch_date(days: Column) -> Column:
 
 def lines_by_id(lines: Column) -> Column:
     return F.map_from_entries(F.transform(lines, lambda x: F.struct(x["id"], x)))
+
+
+def map_put(m: Column, key: Column, value: Column) -> Column:
+    """The map with an entry added or replaced."""
+    return F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(key, value))
+
+
+def map_remove(m: Column, key: Column) -> Column:
+    return F.map_filter(m, lambda k, _: k != key)
+
+
+def money(text: Column) -> Column:
+    """Text as decimal(10,2); null where it isn't a number of that size."""
+    return text.try_cast("decimal(10,2)")
+
+
+def later(a: Column, b: Column) -> Column:
+    """The greater of two log positions; a missing one doesn't count."""
+    return F.greatest(a, b)
+
+
+def utf8(text: Column) -> Column:
+    return F.encode(text, "UTF-8")
+
+
+def json_field(text: Column, path: str) -> Column:
+    """One field of a JSON text as text."""
+    return F.get_json_object(text, f"$.{path}")

@@ -11,13 +11,14 @@ UNAVAILABLE = "__debezium_unavailable_value"
 
 
 def backfill_over(events: DataFrame, column: str, key: str = "id", ts: str = "ts", order: str = "pos", days: int | None = 30, sentinel: str = UNAVAILABLE) -> DataFrame:
-    """The last value that isn't null or the sentinel, by time, within ``days`` (None: ever). Deletes stay as they are."""
-    w = Window.partitionBy(key)
-    if days is None:
-        w = w.orderBy(ts, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        last = F.last(F.nullif(column, F.lit(sentinel)), ignorenulls=True).over(w)
-    else:
-        last = F.expr(f"last_value(nullif({column}, '{sentinel}')) IGNORE NULLS OVER (PARTITION BY {key} ORDER BY {ts} RANGE BETWEEN INTERVAL {days} DAYS PRECEDING AND CURRENT ROW)")
+    """The last value that isn't null or the sentinel, by time and then ``order``, within ``days`` (None: ever).
+
+    Events of the same time are told apart by ``order``, so no event sees a later one. Deletes stay as they are.
+    """
+    w = Window.partitionBy(key).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.col(column).isNotNull() & (F.col(column) != sentinel)
+    held = F.last(F.when(known, F.struct(F.col(ts).alias("t"), F.col(column).alias("x"))), ignorenulls=True).over(w)
+    last = held["x"] if days is None else F.when(held["t"] >= F.col(ts) - F.expr(f"INTERVAL {days} DAYS"), held["x"])
     return events.withColumn(column, F.when((F.col(column) == sentinel) & (F.col("op") != "d"), last).otherwise(F.col(column)))
 
 
@@ -34,6 +35,16 @@ def backfill_keyed(events: DataFrame, columns: list[str], key: str = "id", order
     return out.withColumns(new).drop("_epoch")
 
 
+def backfill_envelope(events: DataFrame, columns: list[str], key: str = "id", order: str = "pos", sentinel: str = UNAVAILABLE) -> DataFrame:
+    """The keyed backfill of fields of ``after``: the row is rebuilt with them; a delete keeps its null ``after``."""
+    flat = events.withColumns({f"_f_{c}": F.col("after")[c] for c in columns} | {"_key": F.coalesce(F.col("after")[key], F.col("before")[key])})
+    filled = backfill_keyed(flat, [f"_f_{c}" for c in columns], "_key", order, sentinel)
+    after = F.col("after").withField(columns[0], F.col(f"_f_{columns[0]}"))
+    for c in columns[1:]:
+        after = after.withField(c, F.col(f"_f_{c}"))
+    return filled.withColumn("after", F.when(F.col("after").isNotNull(), after)).select(*events.columns)
+
+
 def reselect(events: DataFrame, current: DataFrame, columns: list[str], key: str = "id", sentinel: str = UNAVAILABLE) -> DataFrame:
     """Sentinels replaced by the row's current values in the source table; nulls stay. ``current``: one row a key."""
     now = current.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_now_{c}") for c in columns])

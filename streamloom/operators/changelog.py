@@ -42,7 +42,7 @@ def to_upsert(changes: DataFrame, key: str) -> DataFrame:
 def to_envelope(changes: DataFrame, key: str) -> DataFrame:
     """+I and +U as creates with ``after``, -U and -D as deletes with ``before``."""
     new = F.col("row_kind").isin("+I", "+U")
-    return changes.select(key, "pos", "part", F.when(new, "c").otherwise("d").alias("op"), F.when(~new, F.col("row")).alias("before"), F.when(new, F.col("row")).alias("after"))
+    return changes.select(key, "pos", "part", "row_kind", F.when(new, "c").otherwise("d").alias("op"), F.when(~new, F.col("row")).alias("before"), F.when(new, F.col("row")).alias("after"))
 
 
 def upsert_to_changelog(upserts: DataFrame, key: str, order: str = "pos") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from streamloom.functions.expressions import full_match
 
@@ -24,10 +23,37 @@ def decode(events: DataFrame, row: str, value: str = "value") -> DataFrame:
     return parsed.select(*[F.col(f"`{c}`") for c in events.columns if c != value], "e.*").withColumn("is_snapshot", F.coalesce(F.col("source.snapshot") != "false", F.lit(False)))
 
 
+def decode_keyed(events: DataFrame, row: str, key_row: str, key: str = "key", value: str = "value") -> DataFrame:
+    """Envelope columns from JSON with the fields of the JSON key, which stand over those of the value."""
+    keyed = events.withColumn("_k", F.from_json(key, key_row)).drop(key)
+    out = decode(keyed, row, value)
+    names = [f.name for f in out.schema["_k"].dataType.fields]
+    return out.select(*[F.col(f"_k.{n}").alias(n) for n in names], *[F.col(f"`{c}`") for c in out.columns if c != "_k" and c not in names])
+
+
+def decode_flat(events: DataFrame, row: str, key_row: str, key: str = "key", value: str = "value") -> DataFrame:
+    """Flat rows from a JSON key and value; fields of the key stand over those of the value."""
+    parsed = events.withColumns({"_k": F.from_json(key, key_row), "_v": F.from_json(value, row)}).drop(key, value)
+    names = [f.name for f in parsed.schema["_k"].dataType.fields]
+    rest = [f.name for f in parsed.schema["_v"].dataType.fields if f.name not in names]
+    return parsed.select(*[F.col(f"`{c}`") for c in parsed.columns if c not in ("_k", "_v")], *[F.col(f"_k.{n}").alias(n) for n in names], *[F.col(f"_v.{n}").alias(n) for n in rest])
+
+
+def decode_any(events: DataFrame, value: str = "value") -> DataFrame:
+    """The value as a variant, for payloads without a declared row; text that isn't JSON gives null."""
+    return events.withColumn(value, F.try_parse_json(value))
+
+
 def decode_transactions(events: DataFrame, value: str = "value") -> DataFrame:
+    """The transaction topic: status, id, event_count, data_collections, ts_ms."""
     return events.select(F.from_json(value, TX_META).alias("e")).select("e.*")
 
 
+def of_topic(events: DataFrame, topic: str) -> DataFrame:
+    """The events of one of several topics that are read together."""
+    return events.filter(F.col("topic") == topic)
+
+
 def encode(key: list[str], value: list[str], drop_null: bool = False) -> list[Column]:
     """Key and value columns as JSON; the value keeps explicit nulls."""
     return [F.to_json(F.struct(*key)).alias("key"), F.to_json(F.struct(*value), {"ignoreNullFields": str(drop_null).lower()}).alias("value")]
@@ -51,15 +77,19 @@ def include_tables(events: DataFrame, patterns: list[str], table: Column | None
     return events.filter(full_match(qualified_table() if table is None else table, patterns))
 
 
+def include_schemas(events: DataFrame, schemas: list[str], schema: Column | None = None) -> DataFrame:
+    return events.filter((F.col("source.schema") if schema is None else schema).isin(*schemas))
+
+
 def split_valid(events: DataFrame, ops: tuple[str, ...] = OPS) -> tuple[DataFrame, DataFrame]:
-    """Events with a known op, and the others."""
+    """Events with a known op, and the others: unknown ops, and broken envelopes, which decode to nulls."""
     known = F.coalesce(F.col("op").isin(*ops), F.lit(False))
     return events.filter(known), events.filter(~known)
 
 
-def flatten(events: DataFrame, row: StructType, key: str = "id") -> DataFrame:
-    """The key and the row after the change; a delete gives a null row."""
-    return events.select(event_key(key).alias(key), F.when(F.col("op") != "d", F.col("after")).alias("row"))
+def flatten(events: DataFrame, key: str = "id", keep: list[str] | None = None) -> DataFrame:
+    """The key and the row after the change, beside the columns to ``keep``; a delete gives a null row."""
+    return events.select(*(keep or []), event_key(key).alias(key), F.when(F.col("op") != "d", F.col("after")).alias("row"))
 
 
 def split_moved(events: DataFrame, parent: str) -> DataFrame:

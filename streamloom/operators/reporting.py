@@ -32,17 +32,30 @@ def slot_lag(slots: DataFrame, current_lsn: str) -> DataFrame:
 
 
 def relabel(metrics: DataFrame, raw: str, rules: tuple = RULES) -> DataFrame:
-    """metric and labels by the first rule that matches; names that no rule matches go."""
-    def filled(template: str, pattern: str) -> Column:
-        parts = re.split(r"\$(\d+)", template)
-        return F.concat(*[F.regexp_extract(raw, pattern, int(p)) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+    """metric and labels by the first rule that matches; names that no rule matches go.
+
+    Names are few against samples: each distinct one is matched once, with all groups of its rule in one replacement.
+    """
+    mark = "\x01"
 
-    hits = []
-    for pattern, name, labels in rules:
-        entries = [x for k, v in labels.items() for x in (F.lit(k), filled(v, pattern))]
+    def filled(template: str) -> Column:
+        parts = re.split(r"\$(\d+)", template)
+        return F.concat(*[F.element_at("_groups", int(p)) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+    names = metrics.select(F.col(raw).alias("_raw")).distinct()
+    rule = F.coalesce(*[F.when(F.col("_raw").rlike(pattern), F.lit(i)) for i, (pattern, _, _) in enumerate(rules)])
+    names = names.withColumn("_rule", rule).filter("_rule is not null")
+    groups, hits = F.lit(None), F.lit(None)
+    for i, (pattern, name, labels) in reversed(list(enumerate(rules))):
+        all_groups = mark.join(f"${k + 1}" for k in range(re.compile(pattern).groups))
+        groups = F.when(F.col("_rule") == i, F.split(F.regexp_replace("_raw", f"(?s)^.*?{pattern}.*$", all_groups), mark)).otherwise(groups)
+        entries = [x for k, v in labels.items() for x in (F.lit(k), filled(v))]
         made = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
-        hits.append(F.when(F.col(raw).rlike(pattern), F.struct(filled(name, pattern).alias("metric"), made.alias("labels"))))
-    return metrics.withColumn("_hit", F.coalesce(*hits)).filter("_hit is not null").withColumns({"metric": F.col("_hit.metric"), "labels": F.col("_hit.labels")}).drop("_hit")
+        hits = F.when(F.col("_rule") == i, F.struct(filled(name).alias("metric"), made.alias("labels"))).otherwise(hits)
+    # Generators keep the optimiser from copying the patterns into every use of the columns.
+    names = names.select("_raw", "_rule", F.explode(F.array(groups)).alias("_groups"))
+    names = names.select("_raw", F.explode(F.array(hits)).alias("_hit")).select("_raw", "_hit.metric", "_hit.labels")
+    return metrics.join(names, F.col(raw) == F.col("_raw")).drop("_raw")
 
 
 def where_label(samples: DataFrame, label: str, pattern: str) -> DataFrame:
@@ -53,5 +66,11 @@ def min_over_time(samples: DataFrame, by: list[str], step: str = "1 minute") ->
     return samples.groupBy(*by, F.window("ts", step).alias("w")).agg(F.min("value").alias("value")).select(*by, F.col("w.start").alias("bucket"), "value")
 
 
+def series(samples: DataFrame, metric: str, label: str | None = None, pattern: str | None = None) -> DataFrame:
+    """A dashboard panel: the samples of one metric, where wanted those with a matching label."""
+    own = samples.filter(F.col("metric") == metric)
+    return own if label is None else where_label(own, label, pattern)
+
+
 def activity(value: Column) -> Column:
     return F.when(value == 1, "Active").when(value == 0, "Inactive")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamloom.functions.expressions import tx_id, tx_lsn
+
 
 def stamp_commit_lsn(events: DataFrame, ends: DataFrame, hold_untracked: bool = False) -> DataFrame:
     """Events with the commit position of their transaction's END; those of open transactions are held back.
@@ -19,13 +21,30 @@ def stamp_commit_lsn(events: DataFrame, ends: DataFrame, hold_untracked: bool =
     return known.unionByName(free.select(*known.columns))
 
 
+def ends_of(transactions: DataFrame) -> DataFrame:
+    """END events (tx_id, commit_lsn, data_collections) from a transaction topic, whose ids are ``txId:lsn``; BEGINs go.
+
+    A heartbeat is an END without collections: a transaction of no events, complete at once, that moves the frontier on.
+    """
+    none = F.array().cast("array<struct<data_collection:string,event_count:int>>")
+    ended = transactions.filter("status = 'END'")
+    return ended.select(tx_id(F.col("id")).alias("tx_id"), tx_lsn(F.col("id")).alias("commit_lsn"), F.coalesce("data_collections", none).alias("data_collections"))
+
+
+def expected_of(collections: Column, table: str) -> Column:
+    """How many events of ``table`` an END's data_collections announce; 0 if it isn't among them."""
+    own = F.filter(collections, lambda c: c["data_collection"] == table)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda n, c: n + c["event_count"])
+
+
 def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("commit_lsn", "tbl").agg(F.count("*").alias("n"))
 
 
 def expected_counts(ends: DataFrame) -> DataFrame:
-    """commit_lsn, tbl, expected from END events with their data_collections."""
-    return ends.select("commit_lsn", F.explode("data_collections").alias("c")).select("commit_lsn", F.col("c.data_collection").alias("tbl"), F.col("c.event_count").cast("long").alias("expected"))
+    """commit_lsn, tbl, expected from END events with their data_collections; of one without any, a row with a null table and 0."""
+    each = ends.select("commit_lsn", F.explode_outer("data_collections").alias("c"))
+    return each.select("commit_lsn", F.col("c.data_collection").alias("tbl"), F.coalesce(F.col("c.event_count"), F.lit(0)).cast("long").alias("expected"))
 
 
 def completeness(events: DataFrame, expected: DataFrame) -> DataFrame:
@@ -49,4 +68,4 @@ def combined(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.agg(F.max("commit_lsn").alias("a")).join(b.agg(F.max("commit_lsn").alias("b"))).select(F.least("a", "b").alias("commit_lsn"))
 
 
-__all__ = ["combined", "completeness", "event_counts", "expected_counts", "frontier", "stamp_commit_lsn"]
+__all__ = ["combined", "completeness", "ends_of", "event_counts", "expected_counts", "expected_of", "frontier", "stamp_commit_lsn"]

@@ -1,7 +1,8 @@
 """Transaction-consistent join of orders with their lines, and its nesting: one row for each order and transaction.
 
-Orders are events (id, commit_lsn, seq, op, ...), lines (order_id, id, commit_lsn, seq, op, ...). All joins are on the
-order id first, so that one exchange by it serves them and the aggregation.
+Orders are events (id, commit_lsn, seq, op, ...), lines (order_id, id, commit_lsn, seq, op, ...). Events are brought down to
+one image for each key and transaction before the exchange by order id. An order's image as of a transaction is the last
+one on its timeline, by one window; only lines are joined, and there the result is every line at every transaction.
 """
 
 from __future__ import annotations
@@ -28,10 +29,13 @@ def touched(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 def order_asof(orders: DataFrame, lines: DataFrame, columns: list[str]) -> DataFrame:
     """The order's image as of each transaction that touched it; after its delete only the delete itself counts."""
-    ov = versions(orders, ["id"], columns).withColumnRenamed("id", "order_id")
-    t = touched(orders, lines)
-    seen = t.join(ov, "order_id").filter("lsn <= commit_lsn and commit_lsn < nx and (op != 'd' or lsn = commit_lsn)")
-    return seen.select("order_id", "commit_lsn", (F.col("op") == "d").alias("deleted"), *columns)
+    image = F.struct("seq", F.col("commit_lsn").alias("lsn"), "op", *columns)
+    own = orders.select(F.col("id").alias("order_id"), "commit_lsn", F.col("seq").alias("at"), image.alias("image"))
+    none = lines.select("order_id", "commit_lsn", F.lit(None).cast(own.schema["at"].dataType).alias("at"), F.lit(None).cast(own.schema["image"].dataType).alias("image"))
+    timeline = own.unionByName(none).groupBy("order_id", "commit_lsn").agg(F.max_by("image", "at").alias("image"))
+    w = Window.partitionBy("order_id").orderBy("commit_lsn")
+    seen = timeline.select("order_id", "commit_lsn", F.last("image", ignorenulls=True).over(w).alias("v")).filter("v is not null and (v.op != 'd' or v.lsn = commit_lsn)")
+    return seen.select("order_id", "commit_lsn", (F.col("v.op") == "d").alias("deleted"), *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
 def lines_asof(orders: DataFrame, lines: DataFrame, columns: list[str]) -> DataFrame:

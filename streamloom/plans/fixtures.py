@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-FX1 = """SELECT event_id AS pos, user_id AS id, ts,
+# Times are cut to days, so that many events of a key have the same one.
+FX1 = """SELECT event_id AS pos, user_id AS id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts,
   CASE WHEN event_type = 'signup' THEN 'c' WHEN event_type = 'error' THEN 'd' ELSE 'u' END AS op,
   CASE WHEN event_type NOT IN ('signup', 'error') AND event_id % 3 = 1 THEN '__debezium_unavailable_value'
        WHEN event_id % 7 = 0 THEN NULL ELSE props END AS biography
@@ -13,7 +14,7 @@ ORDERS = """SELECT o_orderkey AS id, 100 + o_orderkey * 10 AS commit_lsn, 1 AS s
 UNION ALL SELECT o_orderkey, 103 + o_orderkey * 10, 1, 'u', o_totalprice + 1 FROM {orders} WHERE o_orderkey % 2 = 0
 UNION ALL SELECT o_orderkey, 103 + o_orderkey * 10, 2, 'u', o_totalprice + 2 FROM {orders} WHERE o_orderkey % 6 = 0
 UNION ALL SELECT o_orderkey, 107 + o_orderkey * 10, 1, 'd', o_totalprice FROM {orders} WHERE o_orderkey % 10 = 0"""
-BASE = """SELECT l_orderkey AS order_id, l_quantity AS q, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey,
+BASE = """SELECT l_orderkey AS order_id, l_quantity AS q, CAST(l_orderkey AS BIGINT) * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
   l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS id FROM {lineitem}"""
 LINES = """SELECT order_id, id, 100 + order_id * 10 AS commit_lsn, 1 AS seq, 'c' AS op, q FROM {base}
 UNION ALL SELECT order_id, id, 105 + order_id * 10, 1, 'u', q + 100 FROM {base} WHERE id % 3 = 0
@@ -25,12 +26,15 @@ ARRIVED = "SELECT * FROM {fl} WHERE NOT (commit_lsn >= 8000 AND id % 97 = 0)"
 SLOTS = """SELECT * FROM (VALUES ('a', 'pgoutput', 'inventory', '16/B374D848', CAST(NULL AS STRING), true, CAST(53687091200 AS BIGINT)),
  ('b', 'pgoutput', 'inventory', '16/B3000000', NULL, false, 10485247), ('c', 'pgoutput', 'shipment', '15/FFFFFFFF', 'wal_removed', false, NULL),
  ('d', 'pgoutput', 'shipment', '16/B374D000', NULL, CAST(NULL AS BOOLEAN), 10239)) AS t(slot_name, plugin, db, restart_lsn, invalidation_reason, active, safe_wal_size)"""
-RAW = """SELECT event_id, ts, value, CASE event_type
- WHEN 'signup' THEN 'kafka.connect<type=connect-worker-metrics>task-count:'
- WHEN 'error' THEN 'debezium.postgres<type=connector-metrics, context=snapshot, server=s1, key=inventory.authors><>RowsScanned'
- WHEN 'click' THEN 'debezium.postgres<type=connector-metrics, context=streaming, server=s1>MilliSecondsBehindSource'
- WHEN 'view' THEN 'debezium.postgres<type=connector-metrics, server=s2, task=0, context=streaming>TotalNumberOfEventsSeen'
- ELSE 'debezium.postgres<type=connector-metrics, server=s2, task=0, context=snapshot, database=db1>TotalNumberOfEventsSeen' END AS raw FROM {events}"""
+# A name for each of the six rules, and one that no rule takes.
+RAW = """SELECT event_id, ts, value, CASE event_id % 7
+ WHEN 0 THEN 'kafka.connect<type=connect-worker-metrics>task-count:'
+ WHEN 1 THEN 'kafka.connect<type=connect-metrics, client-id=c' || CAST(event_id % 3 AS STRING) || '><>request-rate'
+ WHEN 2 THEN 'debezium.postgres<type=connector-metrics, context=snapshot, server=s' || CAST(event_id % 3 AS STRING) || ', key=inventory.authors><>RowsScanned'
+ WHEN 3 THEN 'debezium.postgres<type=connector-metrics, server=s' || CAST(event_id % 3 AS STRING) || ', task=0, context=snapshot, database=db1>TotalNumberOfEventsSeen'
+ WHEN 4 THEN 'debezium.mysql<type=connector-metrics, server=s' || CAST(event_id % 3 AS STRING) || ', task=1, context=streaming>TotalNumberOfEventsSeen'
+ WHEN 5 THEN 'debezium.postgres<type=connector-metrics, context=streaming, server=s' || CAST(event_id % 3 AS STRING) || '>MilliSecondsBehindSource'
+ ELSE 'java.lang<type=Memory>used' END AS raw FROM {events}"""
 
 PARTS = {"fx1": FX1, "fo": ORDERS, "base": BASE, "fl": LINES, "tx": TX, "arrived": ARRIVED, "slots": SLOTS, "raw": RAW}
 NEEDS = {"fx1": ("events",), "fo": ("orders",), "base": ("lineitem",), "fl": ("base",), "tx": ("fo", "fl"), "arrived": ("fl",), "slots": (), "raw": ("events",)}

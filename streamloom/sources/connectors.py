@@ -31,6 +31,24 @@ def generate(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).withColumn("text", F.md5(F.rand().cast("string").cast("binary")))
 
 
+def ddl(spark: SparkSession, n: int, template: str = "CREATE TABLE inventory.t_%s (id SERIAL PRIMARY KEY, value VARCHAR(255))") -> DataFrame:
+    """``n`` statements from a template, with padded numbers."""
+    return spark.range(1, n + 1).select("id", F.format_string(template, F.lpad(F.col("id").cast("string"), 3, "0")).alias("statement"))
+
+
+def to_console(df: DataFrame, checkpoint: str | None = None):
+    """A tap that prints what passes."""
+    if not df.isStreaming:
+        return df.show(truncate=False)
+    writer = df.writeStream.format("console").option("truncate", "false")
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
+def to_callback(df: DataFrame, call: Callable[[DataFrame, int], None], checkpoint: str):
+    """Each micro-batch to a function, with its id."""
+    return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(call).start()
+
+
 def to_topic(df: DataFrame, servers: str, name: str, checkpoint: str):
     """Appends key and value to a topic, at least once."""
     return df.select("key", "value").writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", name).option("checkpointLocation", checkpoint).start()
