@@ -1,38 +1,38 @@
 """URL filtering by rules and by a path-template tree, in DataFrame operations only.
 
-Explicit rules judge the urls that they fit. The tree judges the rest: per host, a path is a branch of segments.
-Level by level from the root, a segment is generalised to a wildcard if it holds a digit, or if it is one of many
-rare values at its node. Sibling branches whose labelled rates don't differ by a two-proportion test are merged with
-the rest of their node: a branch keeps its own rate only where it differs significantly, else it takes the node's.
-Rates are smoothed top-down: a branch's rate is drawn towards its parent's, a host's towards that of its registered
-domain, and that towards the whole corpus. A branch without any label takes the smoothed rate of its node where that is
-well supported and pure and labels cover at least half of the node's urls; a rule for one path of a host, which labels
-that path only, says nothing of the others. Elsewhere it has the rate of the corpus, one half at most. A url is blocked if the smoothed blocked share of its deepest template exceeds
-one half.
-
-The labels are the verdicts of the rules on the urls that they fit.
-
-A null url, or one without ``://``, has an empty host and path, no rule, and is allowed unless labelled. Null ids and
-repeated rows are kept, one result a row; ties at one half are allowed; extra columns are ignored; an empty table
-gives an empty result.
+Explicit rules judge the urls that they fit. The tree judges the rest. Per host, a path is a branch of segments, all of
+them. A segment with a digit becomes a wildcard, and so do all values at a node that has many, most of them rare. What
+is left is the template of the path.
+
+The labels are the verdicts of the rules on the urls that they fit. A template's blocked share is found top-down along a
+chain of branches: under all hosts, from the first segment to the whole template; the whole template under the registered
+domain; under the host itself, from its root to the whole template. A branch that doesn't differ from the one above by a proportion test is merged with it
+and takes its share; one that does has its own, smoothed towards the one above. So the same template under hosts that
+agree is one branch, and a host without labels of its own is judged by the hosts and domains that have some. A branch
+above the whole template speaks for what lies below it only if labels cover at least half of its urls: a rule for one
+path of a host says nothing of the host's other paths. A template is rejected from a smoothed share of REJECT on.
+
+A null url, or one without ``://``, has an empty host and path, no rule, and is allowed. Null ids and repeated rows are
+kept, one result a row; a share of exactly REJECT blocks; extra columns are ignored; an empty table gives an empty result;
+without labels every url is allowed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import table
+from streamloom.llm.common import cut, table
 
 #: host, path prefix, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Levels of the tree, pseudo-counts of the parent's rate, values and mean count from which a node's rare values merge,
-#: and the squared z beyond which a branch differs from its node.
-DEPTH, PRIOR, MANY, RARE, DIFFERS = 3, 4.0, 20, 3.0, 6.63
-#: Labels, labelled share and purity from which a node's rate holds for its unlabelled branches.
-SUPPORT, COVER, PURE = 20, 0.5, 0.9
+#: Pseudo-counts of the share above, values and mean count from which a node's values become a wildcard, the squared z
+#: from which a branch differs, the labelled share from which a branch speaks for what is below, and the rejected share.
+PRIOR, MANY, RARE, DIFFERS, COVER, REJECT = 4.0, 20, 3.0, 6.63, 0.5, 0.8
+#: Rows (of some 100 bytes) up to which a counted side is broadcast; more are joined by a shuffle.
+FEW = 100_000
+#: The last two labels of a host, or three where the last two are a country's common suffix.
+DOMAIN = r"([^.]+[.](?:(?:co|com|org|net|gov|ac|edu)[.][a-z][a-z]|[^.]+))$"
 
 
 def host_of(url: Column) -> Column:
@@ -52,48 +52,98 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return F.coalesce(*[F.when(fits(h, p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in ordered])
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, depth: int = DEPTH) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
+    """``df``, for a join: counted, and broadcast only if it is small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def parts_of(path: Column) -> Column:
+    """The segments of a joined path; none for the empty one."""
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def templates(stats: DataFrame) -> DataFrame:
+    """stats(host, shape, n, ...) with the template of each shape: crowded nodes' values as wildcards."""
+    levels = F.transform(parts_of(F.col("shape")), lambda s, i: F.struct(i.alias("i"), F.array_join(F.slice(parts_of(F.col("shape")), 1, i), "/").alias("prefix"), s.alias("value")))
+    each = stats.select("host", "shape", "n", F.explode(levels).alias("x")).select("host", "shape", "n", "x.*")
+    values = each.groupBy("host", "prefix", "value").agg(F.sum("n").alias("n"))
+    crowd = values.groupBy("host", "prefix").agg(F.count("*").alias("values"), F.sum("n").alias("all"))
+    crowd = few(crowd.filter((F.col("values") >= MANY) & (F.col("all") < RARE * F.col("values"))).select("host", "prefix", F.lit("*").alias("wild")))
+    named = each.join(crowd, ["host", "prefix"], "left").select("host", "shape", F.struct("i", F.coalesce("wild", "value").alias("value")).alias("x"))
+    named = named.groupBy("host", "shape").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["value"]), "/").alias("template"))
+    return stats.join(named, ["host", "shape"], "left").withColumn("template", F.coalesce("template", F.lit("")))
+
+
+def shares(branches: DataFrame, root: float) -> DataFrame:
+    """host, template, share from branches(domain, host, template, blocked, labelled, n)."""
+    parts = parts_of(F.col("template"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(parts, 1, i), "/").alias("prefix"), (i == F.size(parts)).alias("leaf")))
+    scopes = F.array(*[F.struct(F.lit(k).alias("scope"), c.alias("key")) for k, c in enumerate((F.lit(""), F.col("domain"), F.col("host")))])
+    each = branches.withColumn("x", F.explode(prefixes)).withColumn("y", F.explode(scopes)).select("host", "template", "blocked", "labelled", "n", "x.*", "y.*")
+    each = each.filter("leaf or scope = 2 or (scope = 0 and i > 0)")
+    nodes = each.groupBy("scope", "key", "prefix").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m"), F.sum("n").alias("all"))
+    nodes = few(nodes.filter("m > 0"))
+    link = F.struct("scope", "i", "leaf", "b", "m", "all")
+    chains = each.drop("n").join(nodes, ["scope", "key", "prefix"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(link)).alias("chain"))
+
+    def below(share: Column, x: Column) -> Column:
+        expected = x["m"] * share
+        off = x["b"] - expected
+        differs = off * off > F.lit(DIFFERS) * F.greatest(expected * (1 - share), F.lit(0.25))
+        speaks = x["leaf"] | (x["m"] >= F.lit(COVER) * x["all"])
+        return F.when(speaks & differs, (x["b"] + F.lit(PRIOR) * share) / (x["m"] + F.lit(PRIOR))).otherwise(share)
+
+    return chains.select("host", "template", F.aggregate("chain", F.lit(root), below).alias("share"))
+
+
+def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the template and smoothed blocked share that the method found."""
     found = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     found = found.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     found = found.withColumn("label", F.when(F.col("hit.verdict") == "block", 1).when(F.col("hit").isNotNull(), 0))
-    found = found.withColumn("domain", F.substring_index("host", ".", -2))
-    segments = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
-    found = found.withColumn("segments", F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s)))
-    # The tree is built on distinct paths with their counts: hot hosts and pages are summed before any other exchange.
-    own = [F.coalesce(F.try_element_at("segments", F.lit(i + 1)), F.lit("")).alias(f"s{i}") for i in range(depth)]
-    keys = ["domain", "host", *[f"s{i}" for i in range(depth)]]
-    found = found.select("*", *own)
-    stats = found.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"), F.count("label").alias("labelled"))
-    for i in range(depth):  # rare values of a crowded node become a wildcard
-        node = ["domain", "host", *[f"t{j}" for j in range(i)]]
-        crowd = stats.groupBy(*node, f"s{i}").agg(F.sum("n").alias("n")).groupBy(*node).agg(F.count("*").alias("values"), F.sum("n").alias("all"))
-        crowd = crowd.filter((F.col("values") >= MANY) & (F.col("all") < RARE * F.col("values"))).select(*node, F.lit(True).alias("crowded"))
-        stats = stats.join(crowd, node, "left").withColumn(f"t{i}", F.when(F.col("crowded") & (F.col(f"s{i}") != ""), F.lit("*")).otherwise(F.col(f"s{i}"))).drop("crowded")
-
-    def rates(by: list[str], above: DataFrame | None, up: list[str], name: str) -> DataFrame:
-        """Rate of each node under the key columns ``by``; nodes that don't differ from the one above take its rate."""
-        mine = stats.groupBy(*by).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m"), F.sum("n").alias("n"))
-        mine = mine.join(above, up) if up else mine.select("*", F.lit(whole["above"]).alias("above"), F.lit(whole["base"]).alias("base"), F.lit(False).alias("sure"))
-        b, m, p = F.coalesce(F.col("b"), F.lit(0)), F.col("m"), F.col("above")
-        expected = m * p
-        differs = (b - expected) * (b - expected) > F.lit(DIFFERS) * F.greatest(expected * (1 - p), F.lit(0.25))
-        smooth = (b + F.lit(PRIOR) * p) / (m + F.lit(PRIOR))
-        rate = F.when(m == 0, F.when(F.col("sure"), p).otherwise(F.col("base"))).when(differs, smooth).otherwise(p)
-        sure = F.when(m == 0, F.col("sure")).otherwise((m >= SUPPORT) & (m >= COVER * F.col("n")) & (F.greatest(rate, 1 - rate) >= PURE))
-        return mine.select(*by, "base", rate.alias(name), sure.alias("sure"))
-
-    share = (F.coalesce(F.sum("label"), F.lit(0)) + 1.0) / (F.count("label") + 2.0)
-    whole = found.agg(share.alias("above"), F.least(share, F.lit(0.5)).alias("base")).first()
-    levels = [["domain"], ["domain", "host"], *[["domain", "host", *[f"t{j}" for j in range(i + 1)]] for i in range(depth)]]
-    above, up = None, []
-    for by in levels:
-        above, up = rates(by, above, up, "above"), by
-    leaves = stats.join(above, up, "left").select(*keys, F.concat_ws("/", F.lit(""), *[F.when(F.col(f"t{i}") != "", F.col(f"t{i}")) for i in range(depth)]).alias("template"), F.col("above").alias("share"))
-    same = reduce(lambda a, b: a & b, [F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys])
-    out = found.alias("p").join(leaves.alias("q"), same, "left")
-    return out.select("p.page_id", "p.host", "p.path", F.col("p.hit.rule").alias("rule"), F.coalesce(F.col("p.hit.verdict"), F.when(F.col("q.share") > 0.5, "block").otherwise("allow")).alias("verdict"), "q.template", F.round("q.share", 9).alias("share"))
+    found = found.withColumn("shape", F.array_join(F.transform(parts_of(F.col("path")), lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s)), "/"))
+    # The tree is built on distinct shapes with their counts: hot hosts and pages are summed before any other exchange.
+    stats = cut(found.groupBy("host", "shape").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"), F.count("label").alias("labelled")))
+    named = cut(templates(stats))
+    domain = F.regexp_extract("host", DOMAIN, 1)
+    branches = named.groupBy(F.when(domain != "", domain).otherwise(F.col("host")).alias("domain"), "host", "template").agg(*[F.sum(c).alias(c) for c in ("blocked", "labelled", "n")])
+    whole = stats.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m")).first()
+    root = min(0.5, ((whole["b"] or 0) + 1.0) / ((whole["m"] or 0) + 2.0))
+    share = shares(branches, root)
+    leaves = few(named.select("host", "shape", "template").join(share, ["host", "template"], "left").select("host", "shape", "template", F.coalesce("share", F.lit(root)).alias("share")))
+    out = found.join(leaves, ["host", "shape"], "left")
+    verdict = F.coalesce("hit.verdict", F.when(F.round("share", 9) >= REJECT, "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), F.concat(F.lit("/"), "template").alias("template"), F.round("share", 9).alias("share"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
+
+
+_rules = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
+_fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN" for h, p, _ in _rules]
+#: The same in SQL, for another engine.
+SQL = f"""WITH RECURSIVE split AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+ ruled AS (SELECT *, CASE {' '.join(f"{w} '{h + p}'" for w, (h, p, _) in zip(_fits, _rules, strict=True))} END AS rule,
+  CASE {' '.join(f"{w} '{v}'" for w, (_, _, v) in zip(_fits, _rules, strict=True))} END AS known,
+  list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS segs FROM split),
+ stats AS (SELECT host, segs, count(*) AS n, count(CASE WHEN known = 'block' THEN 1 END) AS blocked, count(known) AS labelled FROM ruled GROUP BY host, segs),
+ whole AS (SELECT least(0.5::DOUBLE, (coalesce(sum(blocked), 0) + 1)::DOUBLE / (coalesce(sum(labelled), 0) + 2)) AS root FROM stats),
+ steps AS (SELECT host, segs, n, unnest(range(1, len(segs) + 1)) AS i FROM stats),
+ crowd AS (SELECT host, prefix FROM (SELECT host, segs[1:i-1] AS prefix, segs[i] AS value, sum(n) AS n FROM steps GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(*) >= {MANY} AND sum(n) < {RARE} * count(*)),
+ made AS (SELECT s.host, s.segs, list(CASE WHEN c.host IS NULL THEN s.segs[s.i] ELSE '*' END ORDER BY s.i) AS template FROM steps s LEFT JOIN crowd c ON c.host = s.host AND c.prefix = s.segs[1:s.i-1] GROUP BY 1, 2),
+ named AS (SELECT stats.*, coalesce(made.template, []) AS template FROM stats LEFT JOIN made ON made.host = stats.host AND made.segs = stats.segs),
+ branches AS (SELECT host, coalesce(nullif(regexp_extract(host, '{DOMAIN}', 1), ''), host) AS domain, template, sum(blocked) AS blocked, sum(labelled) AS labelled, sum(n) AS n FROM named GROUP BY 1, 2, 3),
+ each AS (SELECT host, template, blocked, labelled, n, scope, CASE scope WHEN 0 THEN '' WHEN 1 THEN domain ELSE host END AS key, template[1:i] AS prefix, i, i = len(template) AS leaf
+  FROM (SELECT *, unnest(range(0, len(template) + 1)) AS i FROM branches), range(3) AS r(scope) WHERE i = len(template) OR scope = 2 OR (scope = 0 AND i > 0)),
+ nodes AS (SELECT scope, key, prefix, sum(blocked)::DOUBLE AS b, sum(labelled)::DOUBLE AS m, sum(n)::DOUBLE AS n FROM each GROUP BY 1, 2, 3 HAVING sum(labelled) > 0),
+ links AS (SELECT e.host, e.template, row_number() OVER (PARTITION BY e.host, e.template ORDER BY e.scope, e.i) AS k, e.leaf OR d.m >= {COVER} * d.n AS speaks, d.b, d.m FROM each e JOIN nodes d ON d.scope = e.scope AND d.key = e.key AND d.prefix = e.prefix),
+ walk AS (SELECT DISTINCT host, template, 0 AS k, root AS share FROM links, whole
+  UNION ALL SELECT w.host, w.template, l.k::INTEGER, CASE WHEN l.speaks AND (l.b - l.m * w.share) * (l.b - l.m * w.share) > {DIFFERS} * greatest(l.m * w.share * (1 - w.share), 0.25::DOUBLE)
+   THEN (l.b + {PRIOR} * w.share) / (l.m + {PRIOR}) ELSE w.share END FROM walk w JOIN links l ON l.host = w.host AND l.template = w.template AND l.k = w.k + 1),
+ shares AS (SELECT host, template, arg_max(share, k) AS share FROM walk GROUP BY 1, 2)
+ SELECT page_id, r.host, path, rule, coalesce(known, CASE WHEN round(coalesce(s.share, root), 9) >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
+  '/' || array_to_string(n.template, '/') AS template, round(coalesce(s.share, root), 9) AS share
+ FROM ruled r JOIN named n ON n.host = r.host AND n.segs = r.segs LEFT JOIN shares s ON s.host = n.host AND s.template = n.template, whole"""
