@@ -16,9 +16,10 @@ to the verification. Every candidate pair is verified by the exact similarity of
 large-star and small-star steps.
 
 Words are lower-cased and split at white space. A text of one to four words is one shingle. Texts without words (null,
-empty, blank) are no one's duplicate: each is its own class and group. Rows with a null id get null classes. Rows
-that share an id are one document, the union of their links. Every group is named by its smallest id. Extra columns are
-ignored; an empty table gives an empty result.
+empty, blank) are no one's duplicate: each is its own class and group. Rows with a null id take no part and get null
+classes. Rows that share an id are compared each for itself, by its own text. Every class and group is named by its
+smallest id, so two groups that have the same smallest id, which different texts share, have the same name. Repeated rows get
+one result each. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ LEAST = 0.6
 #: Bits of the parity bitmap.
 BITS = 1024
 CACHE = 500_000
+#: Members of a bucket that one task compares with the rest of it.
+SHARE = 1024
 #: Ids of 8 bytes that may be broadcast.
 FEW = 100_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -108,6 +111,11 @@ def overlap(a: str, b: str) -> float:
     return alike(bag_of(a), bag_of(b))
 
 
+def print_of(bag: tuple[np.ndarray, np.ndarray]) -> str | None:
+    """128 bits of a multiset; null for an empty one."""
+    return xxhash.xxh3_128_hexdigest(bag[0].tobytes() + bag[1].tobytes()) if len(bag[0]) else None
+
+
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """(texts, SIZE) components as unsigned 32-bit integers; a text without shingles has zeros."""
     out = np.full((len(bags), SIZE), np.inf)
@@ -169,21 +177,22 @@ def parities(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def sketched(documents: DataFrame) -> DataFrame:
-    """doc_id, print (of the multiset; null without words), n (shingles), sig, bands, bits."""
+    """doc_id, text_hash, print (of the multiset; null without words), n (shingles), sig, bands, bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), texts_of(batch)
+            ids, hashes, texts = batch.column("doc_id"), batch.column("text_hash"), texts_of(batch)
             for a, b in slices(texts):
                 bags = bags_of(texts[a:b])
                 sig = signatures(bags)
-                prints = [xxhash.xxh3_128_hexdigest(x.tobytes() + n.tobytes()) if len(x) else None for x, n in bags]
+                prints = [print_of(bag) for bag in bags]
                 n = [int(m.sum()) for _, m in bags]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band_hashes(sig).ravel()))
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BITS // 64 + 1, BITS // 64, dtype=np.int32)), pa.array(parities_of(bags).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(prints, pa.string()), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), bands, bits], names=["doc_id", "print", "n", "sig", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(prints, pa.string()), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), bands, bits], names=["doc_id", "text_hash", "print", "n", "sig", "bands", "bits"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print string, n long, sig binary, bands array<long>, bits array<long>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, print string, n long, sig binary, bands array<long>, bits array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,8 +216,24 @@ def stars_only(edges: DataFrame) -> bool:
     return tangled.isEmpty()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough: first by signatures, then exactly by texts."""
+def texts_of_classes(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """node, text for wanted(node, first, print): one text that has the print, from the rows with the id ``first``."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch)
+            for a, b in slices(texts):
+                same = [print_of(bag) == p for bag, p in zip(bags_of(texts[a:b]), batch.column("print").slice(a, b - a).to_pylist(), strict=True)]
+                yield batch.slice(a, b - a).select(["node", "text"]).filter(pa.array(same, pa.bool_()))
+
+    # Few ids go to the texts, as their number has been counted; otherwise the texts are dealt to the ids.
+    sent = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    rows = documents.select(F.col("doc_id").cast("long").alias("first"), "text").join(sent, "first").select("node", "print", "text")
+    return rows.mapInArrow(own, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose multisets overlap enough: first by signatures, then exactly by texts."""
     x = classes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     y = classes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
 
@@ -229,9 +254,8 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     likely = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(likely_of, "a long, b long"))
-    wanted = cut(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    # Few ids go to the texts, as their number has been counted; otherwise the texts are dealt to the ids.
-    held = texts.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "node", "left_semi")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = texts_of_classes(cut(ends.join(classes.select("node", "first", "print"), "node")), documents)
     full = likely.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long").distinct()
 
@@ -244,16 +268,14 @@ def may_link(p: str, q: str) -> Column:
     return fits & (differ <= (n + m) * F.lit((1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, copy_of (smallest id with an equal multiset) and class_id (smallest id of the group), for each row."""
+def grouped(documents: DataFrame) -> DataFrame:
+    """doc_id, text_hash, first (smallest id of the rows with an equal multiset) and root (a number of the group) for each row; null where it takes no part."""
     small_batches(documents.sparkSession)
     rows = cut(sketched(documents))
-    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text")
     full = rows.filter("print is not null and doc_id is not null")
-    sketch = [F.min(c).alias(c) for c in ("n", "sig", "bands", "bits")]
-    classes = full.groupBy("print").agg(F.min("doc_id").alias("node"), *sketch)
-    classes = cut(classes.groupBy("node").agg(*sketch))
-    members = cut(full.select("print", "doc_id").groupBy("print").agg(F.min("doc_id").alias("node")))
+    # A class has a number of its own, fixed by the checkpoint: ids only name it.
+    classes = full.groupBy("print").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "sig", "bands", "bits")])
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     # Buckets that hold one class only are dropped first: most are.
     buckets = classes.select(F.explode(F.array_distinct("bands")).alias("key"), "node", "n")
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -262,16 +284,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     hubs = shared.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
     stars = shared.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub.node").alias("b"), "n", F.col("hub.n").alias("m"))
     stars = stars.filter((F.col("a") != F.col("b")) & (F.least("n", "m") >= F.lit(THRESHOLD) * F.greatest("n", "m"))).select("a", "b").distinct()
-    links = cut(verified(stars, classes, texts))
+    links = cut(verified(stars, classes, documents))
     roots = cut(components(links))
     # Across components that share a bucket: the join itself applies the bitmaps, so only pairs that may link are made.
-    placed = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    placed = cut(placed.join(mixed, "key", "left_semi").join(classes.select("node", "bits"), "node"))
-    p, q = placed.alias("p"), placed.alias("q")
-    near = (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root")) & may_link("p", "q")
+    placed = shared.join(roots, "node", "left").select("key", "size", "node", "n", F.coalesce("root", "node").alias("root"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    placed = cut(placed.join(apart, "key", "left_semi").join(classes.select("node", "bits"), "node").withColumn("shares", F.ceil(F.col("size") / SHARE).cast("int")))
+    # A large bucket is dealt in shares, each compared with the whole of it.
+    p = placed.withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).alias("p")
+    q = placed.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).alias("q")
+    near = (F.col("p.key") == F.col("q.key")) & (F.col("p.share") == F.col("q.share")) & (F.col("p.root") < F.col("q.root")) & may_link("p", "q")
     rest = p.join(q, near).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
-    more = cut(verified(rest, classes, texts))
+    more = cut(verified(rest, classes, documents))
     # The new links join whole components, so only the components' roots are joined anew.
     at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     across = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
@@ -279,11 +303,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     merged = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     alone = top.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots.select("node"), "node", "left_anti")
     roots = merged.unionByName(alone)
-    # Classes that share an id with another class of the same id are one node already.
-    named = members.join(roots, "node", "left").select("print", F.col("node").alias("copy_of"), F.coalesce("root", "node").alias("class_id"))
-    out = rows.select("doc_id", "print").join(named, "print", "left")
-    known = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(known, F.coalesce("copy_of", "doc_id")).alias("copy_of"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"))
+    named = classes.select("print", "node", "first").join(roots, "node", "left").select("print", "first", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "text_hash", "print").join(named, "print", "left").select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"), F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, copy_of (smallest id with an equal multiset) and class_id (smallest id of the group), for each row."""
+    found = cut(grouped(documents))
+    names = found.filter("root is not null").groupBy("root").agg(F.min("first").alias("class_id"))
+    out = found.join(names, "root", "left")
+    return out.select("doc_id", F.coalesce("first", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,11 +320,20 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id stays, once; rows without an id all stay."""
-    found = near_duplicates(docs)
-    kept = found.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("times")).select(F.col("doc_id").alias("kept_id"), "times")
-    kept = cut(kept)
-    names = [f"`{c}`" for c in docs.columns]
-    once = docs.join(kept.filter("times = 1"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    repeated = docs.join(kept.filter("times > 1"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*names).unionByName(repeated.select(*names)).unionByName(docs.filter("doc_id is null").select(*names))
+    """Pipeline stage: of each group the row with the smallest id stays (of its texts, if it has several in the group, that with the smallest hash), once.
+
+    Texts without words aren't copies of each other: all of them stay, as do rows without an id. Columns stay as they are,
+    whatever their names. An empty table gives an empty result.
+    """
+    found = cut(grouped(docs))
+    best = found.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("r.doc_id", "r.text_hash")
+    # How often the row that stays occurs: only repeated ones have to be brought together.
+    times = found.filter("root is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
+    wordless = found.filter("root is null and doc_id is not null").select("doc_id", "text_hash").distinct().withColumn("times", F.lit(1).cast("long"))
+    kept = cut(best.join(times, ["doc_id", "text_hash"]).unionByName(wordless).select(F.struct("doc_id", "text_hash").alias("r"), "times"))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), key.alias("k"), F.col("doc_id").isNull().alias("free"))
+    taken, same = rows.filter("not free"), F.col("k") == F.col("r")
+    once = taken.join(kept.filter("times = 1"), same, "left_semi")
+    repeated = taken.join(kept.filter("times > 1"), same, "left_semi").dropDuplicates(["k"])
+    return once.unionByName(repeated).unionByName(rows.filter("free")).select("d.*")
