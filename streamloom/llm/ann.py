@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -253,6 +253,13 @@ def routed(coded: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(route, "query long, q binary, shard long")
 
 
+def scaled(x) -> Column:
+    """The vector times the power of two that brings its largest component near one: no product can overflow or vanish, and no digit changes."""
+    top = F.array_max(F.transform(x, lambda p: F.abs(p)))
+    power = F.greatest(F.least(F.floor(F.log2(top)), F.lit(1000)), F.lit(-1000))
+    return F.transform(x, lambda p: p * F.pow(F.lit(2.0), -power))
+
+
 def cosine(a: str, b: str):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, p: acc + p)
     return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a))) / F.sqrt(dot(F.col(b), F.col(b)))
@@ -293,7 +300,7 @@ def search(nodes: DataFrame, coded: DataFrame, graph: DataFrame, queries: DataFr
     found = held.groupBy("shard").cogroup(routed(coded, asked).groupBy("shard")).applyInArrow(_visit, "query long, node long")
     found = found.unionByName(queries.select("node").join(links, "node").select(F.col("node").alias("query"), F.explode("links").alias("node")))
     found = walked(links, coded.select("node", "v"), asked, found)
-    vecs = nodes.select("node", "vec")
+    vecs = nodes.select("node", scaled(F.col("vec")).alias("vec"))
     found = found.join(vecs, "node").join(vecs.select(F.col("node").alias("query"), F.col("vec").alias("q")), "query")
     return cut(found.select("query", "node", cosine("q", "vec").alias("score")))
 
