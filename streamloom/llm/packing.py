@@ -1,10 +1,11 @@
 """Hierarchical packing of documents into training windows of several lengths.
 
 A document's ids are cut into whole windows of the longest size; what is left is routed to the tier of the smallest
-context size that holds it. Each buffer of pieces is then packed from the longest tier down: a window opens with
-the longest piece, and its gap is filled by the best-fitting pieces of shorter tiers, the last one cut to fit. At the
-end of a partition the remainder is split into windows of decreasing powers of two, which need no padding. Windows
-are put into step groups of nearly equal token counts.
+context size that holds it. Each buffer of pieces is then packed tier by tier from the longest down, into windows of the
+tier's own size: a window opens with the tier's longest piece, and its gap is filled by the best-fitting pieces of the
+shorter tiers, the last one cut to fit. All sizes are powers of two, and so are the windows into which the remainder at
+the end of a partition is split, so none needs padding. A step group holds windows of one size, as many as make up STEP
+of the longest: all groups but a partition's last of each size have the same number of ids and one shape.
 
 The job is one narrow stage: each task encodes and packs its own rows within a bounded buffer, so nothing is shuffled
 and a lost task is redone alone, with the same ids. Ids come from a cache of pre-token encodings in each worker.
@@ -31,7 +32,7 @@ from streamloom.llm.token_counts import tokenizer
 
 VOCABULARY, SPECIAL = "byte_bpe_50k.json", "<|endoftext|>"
 WINDOW, CACHE = 1024, 450_000
-#: Ids that a buffer gathers before it is packed, and windows in a step group.
+#: Ids that a buffer gathers before it is packed, and windows of the longest size whose ids a step group has.
 BUFFER, STEP = 256 * WINDOW, 8
 #: A space before white space or the end; elsewhere every space starts a pre-token.
 LOOSE = re.compile(r" (?:\s|\Z)")
@@ -87,7 +88,7 @@ class TierPacker:
         self.sizes, self.window = sizes, sizes[0]
         self.tiers: dict[int, list[tuple]] = {s: [] for s in sizes}
         self.base, self.next, self.held = base, 0, 0
-        self.step, self.step_tokens = 0, 0
+        self.steps, self.open = 0, {}
         self.out: list[tuple] = []
 
     def route(self, piece: tuple) -> None:
@@ -95,14 +96,19 @@ class TierPacker:
         insort(self.tiers[min(s for s in self.sizes if s >= piece[0])], piece)
 
     def emit(self, pieces: list[tuple], size: int) -> None:
-        """One window. A step group closes when it holds the ids of STEP long windows."""
-        if self.step_tokens + size > STEP * self.window:
-            self.step, self.step_tokens = self.step + 1, 0
-        offset = 0
+        """One window, in the open step group of its size."""
+        if size not in self.open:
+            self.open[size], self.steps = (self.steps, 0), self.steps + 1
+        step, offset = self.open[size][0], 0
         for length, _, row, start, ids, n in pieces:
-            self.out.append((row, start, length, zlib.crc32(ids), n, self.base + self.next, offset, size, self.base + self.step))
+            self.out.append((row, start, length, zlib.crc32(ids), n, self.base + self.next, offset, size, self.base + step))
             offset += length
-        self.next, self.step_tokens = self.next + 1, self.step_tokens + size
+        self.next += 1
+        held = self.open[size][1] + size
+        if held >= STEP * self.window:
+            del self.open[size]
+        else:
+            self.open[size] = (step, held)
 
     def add(self, row: object, ids: bytes, arrival: int) -> None:
         n, w = len(ids) // 4, self.window
@@ -141,8 +147,9 @@ class TierPacker:
         return window
 
     def pack(self) -> None:
-        while self.held >= self.window:
-            self.emit(self.fill(self.window), self.window)
+        for size in self.sizes:
+            while self.tiers[size] and self.held >= size:
+                self.emit(self.fill(size), size)
 
     def finish(self) -> None:
         self.pack()
@@ -154,8 +161,8 @@ class TierPacker:
 def pack(documents: DataFrame, path: str | None = None) -> DataFrame:
     """One row for each piece: its document, place there, checksum and place in a sequence.
 
-    ``tier`` is the length of the sequence: 1024, or less for a partition's last few, always a power of two, so no
-    sequence needs padding. ``step_group`` numbers groups of sequences with nearly equal id counts.
+    ``tier`` is the length of the sequence, 1024, 512 and so on to 64, or less at a partition's end, always a power of two,
+    so no sequence needs padding. ``step_group`` numbers groups of sequences of one length and equal id counts.
     """
     small_batches(documents.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
