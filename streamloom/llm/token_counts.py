@@ -1,8 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a compact table of the lengths, in tokens, of frequent pre-tokens, which every task gets by broadcast.
-Tier two is a cache in each Python worker: a pre-token that misses the table is encoded once and kept. No
-pre-token is ever shuffled; the pass that finds the frequent ones sends a bounded sketch per task.
+Tier two is a cache in each Python worker: a pre-token that misses the table is encoded once and kept. Texts and their
+pre-tokens are never shuffled; the pass that finds the frequent ones sends one bounded sketch per task, and these are
+added up as they stream in, in two steps where there are many.
 
 The vocabulary splits a text at white space first, so a text's count is the sum of its pieces' counts. Texts for
 which that isn't certain (special strings, separators on which libraries disagree) are encoded whole.
@@ -26,13 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import slices, small_batches, table, texts_of
+from streamloom.llm.common import FEW_PARTS, slices, small_batches, table, texts_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of the broadcast table, entries of each task's sketch, and entries of a worker's cache.
 FREQUENT, SKETCH, CACHE = 16_384, 8_192, 400_000
-#: Merging groups of the sketch: the driver gets this many rows at most.
-GROUPS = 16
 #: Characters that only some libraries take as white space, and the openings of special strings.
 ODD = re.compile("[\x1c-\x1f]|<\\|")
 
@@ -58,8 +57,6 @@ def _top(counts: Counter, n: int) -> list[tuple[str, int]]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
     counts: Counter = Counter()
     for batch in batches:
         for t in texts_of(batch):
@@ -68,31 +65,32 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = Counter(dict(counts.most_common(4 * SKETCH)))
     top = [(w, n) for w, n in _top(counts, SKETCH) if n > 1 and not ODD.search(w)]
     if top:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array(["\n".join(w for w, _ in top)]), pa.array([np.array([n for _, n in top], np.int64).tobytes()], pa.binary())], names=["part", "words", "counts"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(["\n".join(w for w, _ in top)]), pa.array([np.array([n for _, n in top], np.int64).tobytes()], pa.binary())], names=["words", "counts"])
 
 
-def _merge(words: list[str], counts: list[bytes], n: int) -> list[tuple[str, int]]:
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sketch of all sketches of a task, which it adds up as they come."""
     total: Counter = Counter()
-    for w, c in zip(words, counts, strict=True):
-        for k, v in zip(w.split("\n"), np.frombuffer(c, np.int64).tolist(), strict=True):
-            total[k] += v
-        if len(total) > 8 * n:
-            total = Counter(dict(_top(total, 4 * n)))
-    return _top(total, n)
-
-
-def _merged(key, rows):
-    top = _merge(rows.column("words").to_pylist(), rows.column("counts").to_pylist(), FREQUENT)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "words": ["\n".join(w for w, _ in top)], "counts": pa.array([np.array([n for _, n in top], np.int64).tobytes()], pa.binary())})
+    for batch in batches:
+        for w, c in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for k, v in zip(w.split("\n"), np.frombuffer(c, np.int64).tolist(), strict=True):
+                total[k] += v
+            if len(total) > 8 * FREQUENT:
+                total = Counter(dict(_top(total, 4 * FREQUENT)))
+    top = _top(total, FREQUENT)
+    if top:
+        yield pa.RecordBatch.from_arrays([pa.array(["\n".join(w for w, _ in top)]), pa.array([np.array([n for _, n in top], np.int64).tobytes()], pa.binary())], names=["words", "counts"])
 
 
 def frequent_lengths(texts: DataFrame, path: str) -> tuple[str, bytes]:
     """The broadcast table, compactly: the frequent pre-tokens joined by newlines and their lengths as 16-bit integers."""
-    schema = "part int, words string, counts binary"
-    merged = texts.mapInArrow(_sketches, schema).groupBy("part").applyInArrow(_merged, schema).collect()
-    words = [w for w, _ in _merge([r["words"] for r in merged], [bytes(r["counts"]) for r in merged], FREQUENT)]
+    schema = "words string, counts binary"
+    sketches = texts.mapInArrow(_sketches, schema)
+    tasks = sketches._jdf.queryExecution().toRdd().getNumPartitions()
+    if tasks > FEW_PARTS:
+        sketches = sketches.repartition(int(tasks**0.5)).mapInArrow(_merged, schema)
+    rows = sketches.repartition(1).mapInArrow(_merged, schema).collect()  # one row
+    words = rows[0]["words"].split("\n") if rows else []
     lengths = np.array(encoded_lengths(path, words), np.int64) if words else np.zeros(0, np.int64)
     kept = [i for i in range(len(words)) if lengths[i] < 65_536]
     return "\n".join(words[i] for i in kept), lengths[kept].astype(np.uint16).tobytes()
