@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 #: Partitions up to which one task adds up a block's rows.
 FEW_PARTS = 64
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,28 +31,40 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, else the one set by hand; a temporary one, as in local tests, only where neither is."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="streamloom-")
+        sc.setCheckpointDir(shared)
+    return shared
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, is a temporary folder taken.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="streamloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a Parquet table in the shared folder: smaller than a checkpoint of the rows."""
     spark = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streamloom-written-")
-    path = f"{shared}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that ``written`` has made so far: for jobs that have written their results."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_bucket(column: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids give null."""
     c = F.col(column) if isinstance(column, str) else column

@@ -25,18 +25,26 @@ from streamloom.llm.common import is_bucket, slices, small_batches, summed_block
 
 #: Rows of the matrix (one more is for grams that cross documents), gram lengths, and added to each count.
 BINS, ORDERS, ALPHA = 1 << 16, (1, 2, 3), 0.5
-#: More distinct labels than this aren't languages; the matrix is bounded by it.
-MOST_LANGUAGES = 512
+#: Numbers of the matrix at most: with more than 128 languages each has fewer rows, 256 at least.
+MOST = 1 << 23
 UND = "und"
 
 
+def bins_of(languages: int) -> int:
+    """Rows of the matrix, a power of two."""
+    bins = BINS
+    while bins * languages > MOST and bins > 256:
+        bins //= 2
+    return bins
+
+
 @functools.cache
 def letters() -> np.ndarray:
     """For each code point, whether it is a letter."""
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def hashed_grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def hashed_grams(texts: list[str], bins: int = BINS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The rows of all grams, one array for each order, where each document starts in them, and its count of letters."""
     joined = "".join(" " + t.lower() + " " for t in texts)
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -55,40 +63,39 @@ def hashed_grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.nda
         if n > 1:
             h = h[:-1] * np.uint32(0x85EBCA6B) + code[n - 1 :] * np.uint32(0xC2B2AE35) + np.uint32(n)
         x = h ^ (h >> np.uint32(15))
-        row = np.full(len(code), BINS, np.int32)
-        row[: len(h)] = (x * np.uint32(0x27D4EB2F)) >> np.uint32(16)
+        row = np.full(len(code), bins, np.int32)
+        row[: len(h)] = (x * np.uint32(0x27D4EB2F)) >> np.uint32(33 - bins.bit_length())
         for k in range(1, n):  # grams that reach into the next document
-            row[np.maximum(ends - k, starts)] = BINS
+            row[np.maximum(ends - k, starts)] = bins
         rows.append(row)
     return rows, starts, np.add.reduceat(code != 32, starts)
 
 
 def counts_of(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
-    place = {x: i for i, x in enumerate(languages)}
-    total = np.zeros((len(languages), BINS + 1), np.int64)
+    place, bins = {x: i for i, x in enumerate(languages)}, bins_of(len(languages))
+    total = np.zeros((len(languages), bins + 1), np.int64)
     for batch in batches:
         texts, lang = texts_of(batch), batch.column("lang").to_pylist()
         for k in sorted({x for x in lang if x in place}):
             own = [t for t, x in zip(texts, lang, strict=True) if x == k]
             for a, b in slices(own):
-                for row in hashed_grams(own[a:b])[0]:
-                    total[place[k]] += np.bincount(row, minlength=BINS + 1)
+                for row in hashed_grams(own[a:b], bins)[0]:
+                    total[place[k]] += np.bincount(row, minlength=bins + 1)
     for i in range(len(languages)):
         if total[i].any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i, :BINS].tobytes()], pa.binary())], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i, :bins].tobytes()], pa.binary())], names=["block", "counts"])
 
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log-probability matrix (BINS + 1, languages) and log priors from rows (text, lang)."""
-    found = labelled.filter(F.col("lang").isNotNull()).groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    """Languages, log-probability matrix (rows + 1, languages) and log priors from rows (text, lang)."""
+    found = labelled.filter(F.col("lang").isNotNull()).groupBy("lang").count().collect()  # one row a language
     languages = sorted(r["lang"] for r in found)
     n = {r["lang"]: r["count"] for r in found}
     if not languages:
         return [], np.zeros((BINS + 1, 0), np.float32), np.zeros(0)
+    bins = bins_of(len(languages))
     sums = summed_blocks(labelled.select("text", "lang").mapInArrow(lambda it: counts_of(it, languages), "block int, counts binary"))
-    counts = np.stack([sums.get(i, np.zeros(BINS, np.int64)) for i in range(len(languages))], axis=1) + ALPHA
+    counts = np.stack([sums.get(i, np.zeros(bins, np.int64)) for i in range(len(languages))], axis=1) + ALPHA
     matrix = np.vstack([np.log(counts / counts.sum(axis=0)), np.zeros((1, len(languages)))]).astype(np.float32)
     prior = np.log(np.array([n[x] for x in languages], float))
     return languages, matrix, prior - prior.max()
@@ -96,7 +103,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def scores(texts: list[str], matrix: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log joint probabilities (texts, languages), and whether a text has letters."""
-    rows, starts, n_letters = hashed_grams(texts)
+    rows, starts, n_letters = hashed_grams(texts, len(matrix) - 1)
     out = np.tile(prior, (len(texts), 1))
     for k in range(len(prior)):
         column = np.ascontiguousarray(matrix[:, k])
@@ -105,14 +112,14 @@ def scores(texts: list[str], matrix: np.ndarray, prior: np.ndarray) -> tuple[np.
     return out, n_letters > 0
 
 
-def identify(documents: DataFrame, training: DataFrame) -> DataFrame:
-    """documents(doc_id, text, ...) with lang_pred and score (the posterior) for each row; training has text and lang."""
+def identify(documents: DataFrame, training: DataFrame, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """documents(doc_id, text, ...) with lang_pred and score (the posterior) for each row; training has text and lang. Columns that have these ``names`` are replaced."""
     spark = documents.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(train(training))
-    documents = without(documents, "lang_pred", "score")
+    documents = without(documents, *names)
     kept = documents.columns
-    schema = StructType([*documents.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*documents.schema, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, matrix, prior = model.value
@@ -128,7 +135,7 @@ def identify(documents: DataFrame, training: DataFrame) -> DataFrame:
                 p = 1 / np.exp(joint - joint.max(axis=1, keepdims=True)).sum(axis=1)
                 pred += [languages[i] if k else UND for i, k in zip(best.tolist(), known.tolist(), strict=True)]
                 score += np.where(known, p, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, *names])
 
     return documents.mapInArrow(predict, schema)
 
@@ -143,9 +150,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Pipeline stage: documents without an identified language, or with a posterior under ``least``, go.
 
-    It learns from the rows that it gets (those with a language, outside of the held-out bucket). The columns stay
-    those of the input.
+    It learns from the rows that it gets (those with a language, outside of the held-out bucket). Null and empty texts go;
+    ties go to the language first in order of name; repeated rows stay as often as they occur; an empty table gives an
+    empty result. The columns stay those of the input, whatever their names.
     """
     training = docs.filter(~is_bucket("doc_id", 4, 2)).select("text", "lang")
-    found = identify(docs, training)
-    return found.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*[f"`{c}`" for c in docs.columns])
+    new = max(docs.columns, key=len) + "_"
+    found = identify(docs, training, (f"{new}language", f"{new}score"))
+    kept = (F.col(f"`{new}language`") != UND) & (F.col(f"`{new}score`") >= least)
+    return found.filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -210,19 +210,26 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, with its secrets replaced by a mark and n_chars counted anew."""
+    """Pipeline stage: every row stays, with the secrets of its text replaced by a mark, and n_chars, if there is one, counted anew where they were.
+
+    Null and empty texts stay as they are, as do all other columns, whatever their names; repeated rows stay as often as
+    they occur; an empty table gives an empty result.
+    """
     small_batches(spark)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(names, batch.columns, strict=True))
-            texts, n = columns["text"].to_pylist(), columns["n_chars"].to_pylist()
+            texts = columns["text"].to_pylist()
+            n = columns["n_chars"].to_pylist() if "n_chars" in columns else [None] * len(texts)
             for i, t in enumerate(texts):
                 if t and (spans := scan(t)):
                     texts[i] = redacted(t, spans)
                     n[i] = len(texts[i])
-            columns |= {"text": pa.array(texts, columns["text"].type), "n_chars": pa.array(n, columns["n_chars"].type)}
+            columns["text"] = pa.array(texts, columns["text"].type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array(n, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
     return docs.mapInArrow(run, docs.schema)
