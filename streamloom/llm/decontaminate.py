@@ -46,13 +46,25 @@ def template(text: Column) -> Column:
     return words(F.regexp_replace(numbered, rf"(?<={NUMBER} ?)(?:{'|'.join(sorted(UNITS.split(), key=len, reverse=True))})\b", UNIT))
 
 
-def windows(rows: DataFrame, size: int, *keys: str) -> DataFrame:
-    """keys, ``at`` and ``hash`` of every window of ``size`` words of the array column ``words``."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size("words") - (size - 1)), lambda i: F.xxhash64(F.slice("words", i, size)))
-    return rows.filter(F.size("words") >= size).select(*keys, F.posexplode(hashes).alias("at", "hash"))
+def windows(rows: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
+    """keys, ``size``, ``at`` and ``hash`` of every window of each of the sizes in the words of the array column ``words``, in one pass."""
+    hashes = lambda k: F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.xxhash64(F.slice("words", i, k)))
+    rows = rows.filter(F.size("words") >= min(sizes))
+    if len(sizes) == 1:
+        return rows.select(*keys, F.lit(sizes[0]).alias("size"), F.posexplode(hashes(sizes[0])).alias("at", "hash"))
+    named = lambda k: F.transform(hashes(k), lambda h, i: F.struct(F.lit(k).alias("size"), i.alias("at"), h.alias("hash")))
+    each = [F.when(F.size("words") >= k, named(k)) for k in sizes]
+    none = F.array().cast("array<struct<size:int,at:int,hash:bigint>>")
+    return rows.select(*keys, F.explode(F.concat(*[F.coalesce(x, none) for x in each])).alias("w")).select(*keys, "w.*")
 
 
-def inconsistent(hits: DataFrame, rows: DataFrame, items: DataFrame, hint) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
+    """``df``, for a join: counted, and broadcast only if it is small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def inconsistent(hits: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
     """The alignments (row, item_id, shift) in which a value behind a mark of the item maps to two in the document."""
     slotted = hits.filter("slots").select("row", "item_id", "shift", "item_at", "size").distinct()
     wanted = slotted.select("row").distinct()
@@ -62,7 +74,7 @@ def inconsistent(hits: DataFrame, rows: DataFrame, items: DataFrame, hint) -> Da
     both = at.join(said, "row").select("row", "item_id", "shift", "place", F.try_element_at("said", (F.col("place") + F.col("shift") + 1).cast("int")).alias("word"), F.try_element_at("kinds", (F.col("place") + F.col("shift") + 1).cast("int")).alias("kind"))
     both = both.filter(F.col("kind").rlike(f"[{NAME}{NUMBER}{UNIT}]"))
     own = items.select(F.col("item_id").alias("i_id"), F.posexplode("said").alias("i_place", "item_word"))
-    both = both.join(hint(own), F.col("item_id").eqNullSafe(F.col("i_id")) & (F.col("place") == F.col("i_place")))
+    both = both.join(few(own), (F.col("item_id") == F.col("i_id")) & (F.col("place") == F.col("i_place")))
     found = both.groupBy("row", "item_id", "shift", "kind", "item_word").agg(F.min("word").alias("lo"), F.max("word").alias("hi"))
     return found.filter("lo != hi").select(F.col("row").alias("b_row"), F.col("item_id").alias("b_item"), F.col("shift").alias("b_shift")).distinct()
 
@@ -72,28 +84,24 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("key", F.xxhash64("item_id", "text"))
     names = items.select(F.col("key").alias("n_key"), F.col("item_id").alias("name"))
     items = items.select(F.col("key").alias("item_id"), template(F.col("text")).alias("words"), words(F.col("text")).alias("said")).withColumn("size", F.least(F.size("words"), F.lit(window))).filter("size > 0")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # ``window`` values at most
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [window]  # ``window`` values at most
+    # Rows are told apart by 128 bits of their ids and texts.
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id").alias("b")))
     docs = rows.select("doc_id", "row", template(F.col("text")).alias("words"))
     marked = lambda w: w.rlike(f"[{NAME}{NUMBER}{UNIT}]")
-    hits, totals = [], []
-    for k in sizes or [window]:
-        own = items.filter(F.col("size") == k)
-        mine = windows(own, k, "item_id", "words").select("item_id", F.col("at").alias("item_at"), "hash", F.size(F.filter(F.slice("words", F.col("at") + 1, k), marked)).alias("marks"))
-        most = mine.groupBy("item_id").agg(F.min("marks").alias("least")).select(F.col("item_id").alias("m_id"), "least")
-        allowed = F.greatest(F.lit(k - PLAIN), F.col("least"))
-        mine = mine.join(most, F.col("item_id").eqNullSafe(F.col("m_id"))).filter(F.col("marks") <= allowed).select("item_id", "item_at", "hash", (F.col("marks") > 0).alias("slots"))
-        mine = cut(mine)
-        hint = F.broadcast if mine.count() <= BROADCAST else (lambda x: x)
-        totals.append(mine.groupBy("item_id").agg(F.count("*").alias("windows")))
-        hits.append(windows(docs, k, "doc_id", "row").join(hint(mine), "hash").select("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "slots", F.lit(k).alias("size")))
-    found = cut(reduce(DataFrame.unionByName, hits))
-    broken = inconsistent(found, rows, items, hint)
-    same = (F.col("row") == F.col("b_row")) & F.col("item_id").eqNullSafe(F.col("b_item")) & (F.col("shift") == F.col("b_shift"))
+    mine = items.select("item_id", "size", "words", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1), lambda i: F.xxhash64(F.slice("words", i, F.col("size"))))).alias("item_at", "hash"))
+    mine = mine.select("item_id", "size", "item_at", "hash", F.size(F.filter(F.slice("words", F.col("item_at") + 1, F.col("size")), marked)).alias("marks"))
+    most = mine.groupBy("item_id").agg(F.min("marks").alias("least"))
+    mine = mine.join(most, "item_id").filter(F.col("marks") <= F.greatest(F.col("size") - PLAIN, "least"))
+    mine = few(mine.select("item_id", "size", "item_at", "hash", (F.col("marks") > 0).alias("slots")))
+    hits = windows(docs, sizes, "doc_id", "row").join(mine, ["size", "hash"])
+    found = cut(hits.select("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "slots", "size"))
+    broken = inconsistent(found, rows, items)
+    same = (F.col("row") == F.col("b_row")) & (F.col("item_id") == F.col("b_item")) & (F.col("shift") == F.col("b_shift"))
     counts = found.join(broken, same, "left_anti").groupBy("doc_id", "row", "item_id").agg(F.countDistinct("item_at").alias("found"))
-    t = reduce(DataFrame.unionByName, totals).select(F.col("item_id").alias("t_id"), "windows")
-    out = counts.join(hint(t), F.col("item_id").eqNullSafe(F.col("t_id"))).filter(F.col("found") >= F.lit(cover) * F.col("windows"))
-    out = out.join(hint(names), F.col("item_id") == F.col("n_key")).groupBy("doc_id", F.col("name").alias("item_id"))
+    total = few(mine.groupBy("item_id").agg(F.count("*").alias("windows")))
+    out = counts.join(total, "item_id").filter(F.col("found") >= F.lit(cover) * F.col("windows"))
+    out = out.join(few(names), F.col("item_id") == F.col("n_key")).groupBy("doc_id", F.col("name").alias("item_id"))
     out = out.agg(F.max(F.struct((F.col("found") / F.col("windows")).alias("share"), "found", "windows")).alias("top")).select("doc_id", "item_id", "top.found", "top.windows")
     return out.withColumn("share", F.round(F.col("found") / F.col("windows"), 6))
 
@@ -103,6 +111,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """Pipeline stage: rows whose id has a text that holds a benchmark item go; null and empty texts hold none.
+
+    The other rows stay as they are, repeated ones as often as they occur, with all columns, whatever their names. An
+    empty table gives an empty result.
+    """
+    bad = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.struct("doc_id").alias("bad")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    return rows.join(bad, F.col("d.doc_id").eqNullSafe(F.col("bad.doc_id")), "left_anti").select("d.*")
