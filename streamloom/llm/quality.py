@@ -4,10 +4,11 @@ A document is a bag of passages of PASSAGE characters (the whole text, the last
 by the shares of classes of characters and of pairs of neighbouring classes, its word shape, and how well it compresses.
 An encoder maps that to a hidden vector; gated attention gives each passage a weight; the weighted sum of the hidden
 vectors is scored. Encoder, attention and output are learned together, from document labels only, by gradient descent
-on the driver over a bounded sample of labelled documents; the model is a few thousand numbers and is broadcast.
+on the driver over a bounded sample of labelled documents: SAMPLE of them, and of these, in the same order, as many whole
+ones as have MOST passages together. The model is a few thousand numbers and is broadcast.
 
 Null and empty texts have one empty passage and so a score. Rows without a label aren't learned from; of an id with
-several labels the smallest counts. Null ids are scored but not learned from. Repeated rows are scored each. With labels
+several labels, or texts, the smallest counts. Null ids are scored but not learned from. Repeated rows are scored each. With labels
 of one kind only, or none, every score is that kind's share (0.5 without labels). Extra columns are ignored; an empty
 table gives an empty result.
 """
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import is_bucket, slices, small_batches, table, texts_of
+from streamloom.llm.common import is_bucket, slices, small_batches, table, texts_of, written
 
 PASSAGE = 1024
 #: Documents of the training sample (those with the smallest id hashes), epochs, documents in a step, hidden sizes.
 SAMPLE, EPOCHS, STEP, HIDDEN, GATE = 3000, 30, 64, 16, 8
+#: Passages of the training sample, some 550 bytes each on their way to the driver.
+MOST = 60_000
 THRESHOLD = 0.3
 CLASSES = 16
 
@@ -124,7 +127,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 0, decay: float
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:
-    """A model from at most ``sample`` documents of labels(doc_id, quality); without two kinds of labels their share."""
+    """A model from at most ``sample`` documents, of MOST passages, of labels(doc_id, quality); without two kinds of labels their share."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -137,7 +140,16 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(y[lo:hi], pa.int32()), pa.array([p.astype(np.float16).tobytes() for p in parts], pa.binary())], names=["doc_id", "quality", "bag"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id")
-    found = sorted(rows.select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, bag binary").collect())
+    held = written(rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    sizes = held.select("doc_id", F.greatest(F.ceil(F.length("text") / PASSAGE), F.lit(1)).alias("n"), F.xxhash64("doc_id").alias("h")).collect()  # ``sample`` rows at most
+    own, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if total + r["n"] <= MOST:
+            own.append(r["doc_id"])
+            total += r["n"]
+    if len(own) < len(sizes):
+        held = held.filter(F.col("doc_id").isin(own))
+    found = sorted(held.select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, bag binary").collect())
     y = np.array([r["quality"] for r in found], float)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
