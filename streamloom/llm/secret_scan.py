@@ -1,14 +1,16 @@
 """Secret scanning: fixed patterns, and a battery of randomness tests on every other long run of key characters.
 
-A run is a maximal stretch of base-64 characters. Its encoding (hex, base 32, base 36, base 64) is inferred from the
-characters that it has. A run that fits no alphabet, fails the battery, or touches a pattern's span is split at inner
-``=`` (a name and its key), and a part for which that holds again at ``/``, ``-`` and ``_`` (paths). The battery tests it as a random string over that alphabet: chi-squared uniformity of the
-characters, a Wald-Wolfowitz runs test about the middle of the alphabet, and lag-one serial correlation; Fisher's
-method combines the three. A run that passes is weighed against the hypothesis that it is ordinary text of its
-document: the likelihood ratio of the uniform alphabet to the document's other characters is an e-value (its mean under
-that hypothesis is at most 1), and its reciprocal a valid p-value. The Benjamini-Hochberg procedure over the
-document's runs, with weights by length (a longer run can bear evidence, a short one can't), controls the share of
-false discoveries.
+A run is a maximal stretch of base-64 characters. Its encoding (hex, base 32, base 36, letters, base 62, base 64) is
+inferred from the characters that it has. A run that fits no alphabet, fails the battery, or touches a pattern's span is
+split at inner ``=`` (a name and its key), and a part for which that holds again at ``/``, ``-`` and ``_`` (paths). A
+run that passes is split too where its parts bear more evidence than the whole. The battery tests it as a random string
+over that alphabet: chi-squared uniformity of the characters, a Wald-Wolfowitz runs test about the middle of the
+alphabet, and lag-one serial correlation; Fisher's method combines the three. A run that passes is weighed against the
+hypothesis that it is ordinary text of its document, by the likelihood ratio of the uniform alphabet to the document's
+other characters (in runs of letters only: to its letters whatever their case, and to changes of case being rare). Its
+reciprocal would be a valid p-value if the alphabet were not chosen by the run; as it is, it is a score near one. The
+Benjamini-Hochberg procedure over the document's runs, with weights by length (a longer run can bear evidence, a short
+one can't), keeps the share of false discoveries low.
 
 Null texts read as empty and have no spans. Null ids and repeated rows are kept, one result for each row; extra
 columns are ignored; an empty table gives an empty result. Ties in p are all taken or all left.
@@ -32,8 +34,9 @@ from streamloom.llm.common import small_batches, table, texts_of, without
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LEAST = 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters of a run or part at least, and of one of letters only.
+LEAST, LETTERS_LEAST = 16, 24
 #: The parts of a run, in turn: at inner ``=`` (padding stays), then at every separator.
 SPLITS = (re.compile(r"[^=]+(?:=+$)?"), re.compile(r"[^=/_-]+"))
 KINDS = ("assign", "access", "hex", "random")
@@ -47,17 +50,26 @@ ALPHABETS = (
     ("base32", frozenset("234567" + LOWER.upper()), LOWER.upper() + "234567"),
     ("base36", frozenset(DIGITS + LOWER), DIGITS + LOWER),
     ("BASE36", frozenset(DIGITS + LOWER.upper()), DIGITS + LOWER.upper()),
+    ("lower", frozenset(LOWER), LOWER),
+    ("upper", frozenset(LOWER.upper()), LOWER.upper()),
+    ("letters", frozenset(LOWER + LOWER.upper()), LOWER.upper() + LOWER),
     ("base62", frozenset(DIGITS + LOWER + LOWER.upper()), LOWER.upper() + LOWER + DIGITS),
     ("base64", frozenset(DIGITS + LOWER + LOWER.upper() + "+/"), LOWER.upper() + LOWER + DIGITS + "+/"),
     ("base64url", frozenset(DIGITS + LOWER + LOWER.upper() + "-_"), LOWER.upper() + LOWER + DIGITS + "-_"),
 )
 
 
+#: Shares of letters in any text, roughly: what is frequent in most languages with these letters.
+LETTERS = {c: x / 100 for c, x in zip(LOWER, (8, 1.5, 2.8, 4, 13, 2, 2, 4, 7, 0.2, 0.8, 4, 2.4, 7, 7.5, 1.9, 0.1, 6, 6.5, 9, 3, 1, 1.5, 0.2, 1.5, 0.3), strict=True)}
+
+
 def encoding_of(run: str) -> tuple[str, str] | None:
-    """The smallest alphabet that has all of the run's characters, if the run mixes letters and digits."""
+    """The smallest alphabet that has all of the run's characters, if the run has letters; among letters only, base 32 and hex don't count."""
     own = set(run.rstrip("="))
-    if not any(c.isdigit() for c in own) or not any(c.isalpha() for c in own):
+    if not any(c.isalpha() for c in own):
         return None
+    if not any(c.isdigit() for c in own):
+        return None if len(run) < LETTERS_LEAST else next(((name, order) for name, chars, order in ALPHABETS if not chars & set(DIGITS) and own <= chars), None)
     return next(((name, order) for name, chars, order in ALPHABETS if own <= chars), None)
 
 
@@ -92,9 +104,22 @@ def battery(run: str, order: str) -> float:
     return math.exp(-stat) * (1 + stat + stat * stat / 2)  # Fisher, 6 degrees of freedom
 
 
+def evidence(run: str, k: int) -> float:
+    """The same by what characters are in any text: a logarithm, larger for what is less like text."""
+    return sum(math.log(1 / (k * (0.8 / 26 if c.islower() else 0.1 / 26 if c.isupper() else 0.008 if c.isdigit() else 0.005))) for c in run)
+
+
 def text_p(run: str, k: int, common: Counter, n: int) -> float:
-    """p-value of the hypothesis that the run is ordinary text with the document's characters."""
+    """How likely the run is as ordinary text with the document's characters against a random string: 1 at most."""
     ratio = 0.0
+    if k in (26, 52):
+        last = ""
+        for c in run:
+            lower, upper = c.lower(), c.upper()
+            case = 1.0 if k == 26 else 0.5 if not last else 0.9 if last.isupper() == c.isupper() else 0.1
+            ratio += math.log((n + 50) / (k * case * (common[lower] + common[upper] + 50 * LETTERS[lower])))
+            last = c
+        return math.exp(-max(0.0, ratio))
     for c in run:
         prior = 0.8 / 26 if c.islower() else 0.1 / 26 if c.isupper() else 0.008 if c.isdigit() else 0.005
         ratio += math.log((n + 50) / (k * (common[c] + 50 * prior)))
@@ -120,9 +145,12 @@ def keys_of(run: str, start: int, taken: list[tuple[int, int]], level: int = 0)
     if len(run) < LEAST:
         return []
     code = encoding_of(run) if all(b <= start or a >= end for a, b in taken) else None
-    if code and battery(run.rstrip("="), code[1]) >= LEVEL:
-        return [(start, end, code[1])]
+    random = code is not None and battery(run.rstrip("="), code[1]) >= LEVEL
     parts = [k for m in SPLITS[level].finditer(run) for k in keys_of(m[0], start + m.start(), taken, level + 1)] if level < len(SPLITS) else []
+    if random:
+        own = evidence(run, len(code[1]))
+        if not any(order and (a, b) != (start, end) and evidence(run[a - start : b - start], len(order)) > own for a, b, order in parts):
+            return [(start, end, code[1])]
     return parts or ([(start, end, None)] if code else [])
 
 
