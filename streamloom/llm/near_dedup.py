@@ -46,6 +46,8 @@ BITS = 1024
 CACHE = 500_000
 #: Members of a bucket that one task compares with the rest of it.
 SHARE = 1024
+#: Shares of a group's rows in joins by group.
+SALTS = 16
 #: Ids of 8 bytes that may be broadcast.
 FEW = 100_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -310,9 +312,14 @@ def grouped(documents: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, copy_of (smallest id with an equal multiset) and class_id (smallest id of the group), for each row."""
     found = cut(grouped(documents))
-    names = found.filter("root is not null").groupBy("root").agg(F.min("first").alias("class_id"))
-    out = found.join(names, "root", "left")
-    return out.select("doc_id", F.coalesce("first", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    names = found.filter("root is not null").groupBy("root").agg(F.min("first").alias("class_id"), F.max("first").alias("last"))
+    names = cut(names.filter("class_id != last").select("root", "class_id"))  # a group of one class has its name
+    if names.count() <= FEW:
+        out = found.join(F.broadcast(names), "root", "left")
+    else:  # a group may hold a third of all rows
+        salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)))
+        out = salted.join(names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["root", "salt"], "left")
+    return out.select("doc_id", F.coalesce("first", "doc_id").alias("copy_of"), F.coalesce("class_id", "first", "doc_id").alias("class_id"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,3 +344,15 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     once = taken.join(kept.filter("times = 1"), same, "left_semi")
     repeated = taken.join(kept.filter("times > 1"), same, "left_semi").dropDuplicates(["k"])
     return once.unionByName(repeated).unionByName(rows.filter("free")).select("d.*")
+
+
+#: The same in SQL, for another engine: all pairs of texts that share a shingle, exactly. White space is Python's.
+SQL = f"""WITH RECURSIVE texts AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda w: w <> '') AS words FROM documents),
+ prints AS (SELECT doc_id, CASE WHEN doc_id IS NULL OR len(words) = 0 THEN NULL WHEN len(words) <= {SHINGLE} THEN [words] ELSE list_sort(list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: words[i : i + {SHINGLE - 1}])) END AS print FROM texts),
+ classes AS (SELECT row_number() OVER () AS node, print, min(doc_id) AS first FROM prints WHERE print IS NOT NULL GROUP BY print),
+ bags AS (SELECT node, x, count(*) AS n FROM (SELECT node, unnest(print) AS x FROM classes) GROUP BY 1, 2),
+ shared AS (SELECT a.node AS a, b.node AS b, sum(least(a.n, b.n)) AS n FROM bags a JOIN bags b ON a.x = b.x AND a.node <> b.node GROUP BY 1, 2),
+ links AS (SELECT a, b FROM shared JOIN classes p ON p.node = a JOIN classes q ON q.node = b WHERE n::DOUBLE / (len(p.print) + len(q.print) - n) >= {THRESHOLD}::DOUBLE),
+ reached AS (SELECT node, node AS other FROM classes UNION SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other),
+ named AS (SELECT r.node, min(c.first) AS class_id FROM reached r JOIN classes c ON c.node = r.other GROUP BY 1)
+ SELECT p.doc_id, coalesce(c.first, p.doc_id) AS copy_of, coalesce(n.class_id, p.doc_id) AS class_id FROM prints p LEFT JOIN classes c ON c.print = p.print LEFT JOIN named n ON n.node = c.node"""
