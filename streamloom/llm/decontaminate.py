@@ -119,3 +119,27 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     bad = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.struct("doc_id").alias("bad")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
     return rows.join(bad, F.col("d.doc_id").eqNullSafe(F.col("bad.doc_id")), "left_anti").select("d.*")
+
+
+_class = rf"\p{{L}}\p{{M}}\p{{N}}{NAME}{NUMBER}{UNIT}"
+_units = "|".join(sorted(UNITS.split(), key=len, reverse=True))
+_words = lambda text: f"list_filter(string_split_regex(lower({text}), '[^{_class}]+'), lambda w: w <> '')"
+# Without look-behind a name that follows another one is found by a second pass.
+_named = lambda text, extra: f"regexp_replace({text}, '([\\p{{L}}\\p{{N}},;{extra}] )\\p{{Lu}}\\p{{Ll}}[\\p{{L}}\\p{{M}}]*', '\\1{NAME}', 'g')"
+_marked = f"regexp_replace(regexp_replace({_named(_named('text', ''), NAME)}, '\\p{{N}}+', '{NUMBER}', 'g'), '({NUMBER} ?)(?:{_units})\\b', '\\1{UNIT}', 'g')"
+#: The same in SQL, for another engine; windows are compared word by word.
+SQL = f"""WITH items AS (SELECT row_number() OVER () AS item, item_id, {_words(_marked)} AS words, {_words('text')} AS said FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+ sized AS (SELECT *, least(len(words), {WINDOW}) AS size FROM items WHERE len(words) > 0),
+ parts AS (SELECT item, size, words, unnest(range(len(words) - size + 1)) AS item_at FROM sized),
+ counted AS (SELECT item, size, item_at, words[item_at + 1 : item_at + size] AS win, len(list_filter(words[item_at + 1 : item_at + size], lambda w: regexp_matches(w, '[{NAME}{NUMBER}{UNIT}]'))) AS marks FROM parts),
+ mine AS (SELECT *, marks > 0 AS slots FROM (SELECT *, min(marks) OVER (PARTITION BY item) AS least_marks FROM counted) WHERE marks <= greatest(size - {PLAIN}, least_marks)),
+ docs AS (SELECT row_number() OVER () AS doc_row, doc_id, {_words(_marked)} AS words, {_words('text')} AS said FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+ places AS (SELECT doc_row, doc_id, words, s.size, unnest(range(len(words) - s.size + 1)) AS pos FROM docs, (SELECT DISTINCT size FROM mine) s WHERE len(words) >= s.size),
+ hits AS (SELECT p.doc_row, p.doc_id, m.item, p.pos - m.item_at AS shift, m.item_at, m.size, m.slots FROM (SELECT doc_row, doc_id, size, pos, words[pos + 1 : pos + size] AS win FROM places) p JOIN mine m ON m.size = p.size AND m.win = p.win),
+ slotted AS (SELECT DISTINCT doc_row, item, shift, unnest(range(item_at, item_at + size)) AS place FROM hits WHERE slots),
+ said AS (SELECT s.doc_row, s.item, s.shift, d.words[s.place + s.shift + 1] AS kind, i.said[s.place + 1] AS item_word, d.said[s.place + s.shift + 1] AS word FROM slotted s JOIN docs d ON d.doc_row = s.doc_row JOIN items i ON i.item = s.item),
+ broken AS (SELECT DISTINCT doc_row, item, shift FROM (SELECT doc_row, item, shift FROM said WHERE regexp_matches(kind, '[{NAME}{NUMBER}{UNIT}]') AND item_word IS NOT NULL GROUP BY doc_row, item, shift, kind, item_word HAVING min(word) <> max(word))),
+ kept AS (SELECT h.doc_id, h.doc_row, h.item, count(DISTINCT h.item_at) AS found FROM hits h LEFT JOIN broken b ON b.doc_row = h.doc_row AND b.item = h.item AND b.shift = h.shift WHERE b.doc_row IS NULL GROUP BY 1, 2, 3),
+ total AS (SELECT item, count(*) AS windows FROM mine GROUP BY 1)
+ SELECT doc_id, i.item_id, found, windows, round(found::DOUBLE / windows, 6) AS share FROM kept JOIN total USING (item) JOIN items i USING (item) WHERE found >= {COVER} * windows
+ QUALIFY row_number() OVER (PARTITION BY doc_id, i.item_id ORDER BY found::DOUBLE / windows DESC, found DESC, windows DESC) = 1"""
