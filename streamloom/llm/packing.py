@@ -16,6 +16,8 @@ other row (each row is a document of its own). Extra columns are ignored. An emp
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import sys
 import zlib
@@ -23,6 +25,7 @@ from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,25 +34,88 @@ from streamloom.llm.common import slices, small_batches, table, texts_of
 from streamloom.llm.token_counts import tokenizer
 
 VOCABULARY, SPECIAL = "byte_bpe_50k.json", "<|endoftext|>"
-WINDOW, CACHE = 1024, 450_000
+WINDOW, CACHE, MET = 1024, 400_000, 1 << 23
 #: Ids that a buffer gathers before it is packed, and windows of the longest size whose ids a step group has.
 BUFFER, STEP = 256 * WINDOW, 8
+#: Pieces that are encoded as one text.
+JOINED = 128
 #: A space before white space or the end; elsewhere every space starts a pre-token.
 LOOSE = re.compile(r" (?:\s|\Z)")
 BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
-#: A worker's cache, by path: the little-endian 32-bit ids of a piece of text, as a new and an old generation. A full new
-#: generation replaces the old one, from which pieces still in use come back.
-_caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+#: A worker's cache, by path: the little-endian 32-bit ids of pieces of text, and which places of hashes were met. A piece is
+#: kept from the second slice of texts on that has it: most occur once.
+_caches: dict[str, tuple[dict[str, bytes], bytearray]] = {}
 
 
 def pieces_of(text: str) -> list[str]:
-    """The text cut where a pre-token must start, so that the encodings of the pieces join to that of the text."""
+    """The text cut where a pre-token must start, so that the encodings of the pieces join to that of the text.
+
+    A piece that starts with its only space is given without it, any other one with a space put before it.
+    """
     if LOOSE.search(text):
-        return BOUNDARY.split(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+        return [" " + x for x in BOUNDARY.split(text)]
+    out = text.split(" ")
+    if out[0]:
+        out[0] = " " + out[0]
+        return out
+    return out[1:]
+
+
+@functools.cache
+def opens(path: str) -> np.ndarray:
+    """For each id of the vocabulary, whether it starts with a space."""
+    vocabulary = tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+    return out
+
+
+@functools.cache
+def single_piece(path: str):
+    """A faster encoder of the bytes of one pre-token, or none.
+
+    Where the vocabulary's merges are numbered in their order, merging by rank, as the other library does, gives the
+    same ids: a token's parts are merged before any other pair that would make it.
+    """
+    model = json.loads(tokenizer(path).to_str())
+    merges = [m if isinstance(m, str) else "".join(m) for m in model["model"].get("merges", [])]
+    vocabulary = model["model"].get("vocab", {})
+    pattern = (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not model.get("normalizer")
+    if not pattern or [vocabulary.get(m.replace(" ", "")) for m in merges] != list(range(256, 256 + len(merges))):
+        return None
+    import tiktoken
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t != SPECIAL}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
+def encode_words(words: list[str], path: str) -> list[bytes]:
+    """The ids of each word with a space before it. Words of letters only are one pre-token each."""
+    single = single_piece(path)
+    if single is None:
+        return encode_joined(words, path)
+    others = [w for w in words if not w.isalpha()]
+    rest = iter(encode_joined(others, path))
+    return [as_bytes(single((" " + w).encode())) if w.isalpha() else next(rest) for w in words]
+
+
+def encode_joined(words: list[str], path: str) -> list[bytes]:
+    """The ids of each word with a space before it. Many are encoded as one text, which is cut where an id starts with a space."""
+    encode, out = tokenizer(path).encode_batch_fast, []
+    for lo in range(0, len(words), JOINED):
+        part = words[lo : lo + JOINED]
+        ids = np.array(encode([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(opens(path).take(ids)) * 4
+        if len(starts) != len(part) or starts[0]:
+            out += [as_bytes(e.ids) for e in encode([" " + w for w in part], add_special_tokens=False)]
+        else:
+            raw, starts = ids.tobytes(), starts.tolist()
+            out += map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))
+    return out
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -61,24 +127,34 @@ def as_bytes(ids: list[int]) -> bytes:
 
 def encode_all(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit integers."""
-    new, old = _caches.setdefault(path, ({}, {}))
-    odd = {i for i, t in enumerate(texts) if SPECIAL in t}
-    split = [[] if i in odd else pieces_of(t) for i, t in enumerate(texts)]
-    seen: set[str] = set().union(*split)
-    if len(new) + len(seen) > CACHE:
-        new, old = _caches[path] = ({}, new)
-    missed = []
-    for w in seen:
-        if w not in new:
-            if w in old:
-                new[w] = old[w]
-            else:
-                missed.append(w)
-    encode = tokenizer(path).encode_batch_fast
-    for w, e in zip(missed, encode(missed, add_special_tokens=False), strict=True):
-        new[w] = as_bytes(e.ids)
-    whole = {i: as_bytes(e.ids) for i, e in zip(sorted(odd), encode([texts[i] for i in sorted(odd)], add_special_tokens=False), strict=True)}
-    return [whole[i] if i in odd else b"".join(map(new.__getitem__, words)) for i, words in enumerate(split)]
+    cache, met = _caches.setdefault(path, ({}, bytearray(MET)))
+    odd = [i for i, t in enumerate(texts) if SPECIAL in t]
+    flat: list[str] = []
+    ends = []
+    for t in texts:
+        flat += pieces_of(t) if SPECIAL not in t else ()
+        ends.append(len(flat))
+    found = list(map(cache.get, flat))
+    unknown = [i for i, x in enumerate(found) if x is None] if None in found else []
+    if unknown:
+        missed = list(dict.fromkeys(map(flat.__getitem__, unknown)))
+        words, others = [w for w in missed if w[0] != " "], [w[1:] for w in missed if w[0] == " "]
+        fresh = dict(zip(words, encode_words(words, path), strict=True))
+        for w, e in zip(others, tokenizer(path).encode_batch_fast(others, add_special_tokens=False), strict=True):
+            fresh[" " + w] = as_bytes(e.ids)
+        for i in unknown:
+            found[i] = fresh[flat[i]]
+        if len(cache) > CACHE:
+            cache.clear()
+        places = [hash(w) % MET for w in missed]
+        cache.update((w, fresh[w]) for w, k in zip(missed, places, strict=True) if met[k])
+        for k in places:
+            met[k] = 1
+    out = [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    if odd:
+        for i, e in zip(odd, tokenizer(path).encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = as_bytes(e.ids)
+    return out
 
 
 class TierPacker:
