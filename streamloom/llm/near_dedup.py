@@ -43,9 +43,9 @@ SIZE = BANDS * ROWS
 LEAST = 0.6
 #: Bits of the parity bitmap.
 BITS = 1024
-CACHE = 500_000
-#: Members of a bucket that one task compares with the rest of it.
-SHARE = 1024
+CACHE = 250_000
+#: Members of a bucket that one task compares with the rest of it, and pairs of a hub that one task verifies.
+SHARE, PAIRS = 1024, 512
 #: Shares of a group's rows in joins by group.
 SALTS = 16
 #: Ids of 8 bytes that may be broadcast.
@@ -192,6 +192,7 @@ def sketched(documents: DataFrame) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band_hashes(sig).ravel()))
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BITS // 64 + 1, BITS // 64, dtype=np.int32)), pa.array(parities_of(bags).ravel()))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(prints, pa.string()), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), bands, bits], names=["doc_id", "text_hash", "print", "n", "sig", "bands", "bits"])
+        _words.clear()  # a worker lives longer than its task
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(run, "doc_id long, text_hash long, print string, n long, sig binary, bands array<long>, bits array<long>")
@@ -227,6 +228,7 @@ def texts_of_classes(wanted: DataFrame, documents: DataFrame) -> DataFrame:
             for a, b in slices(texts):
                 same = [print_of(bag) == p for bag, p in zip(bags_of(texts[a:b]), batch.column("print").slice(a, b - a).to_pylist(), strict=True)]
                 yield batch.slice(a, b - a).select(["node", "text"]).filter(pa.array(same, pa.bool_()))
+        _words.clear()
 
     # Few ids go to the texts, as their number has been counted; otherwise the texts are dealt to the ids.
     sent = F.broadcast(wanted) if wanted.count() <= FEW else wanted
@@ -254,11 +256,18 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
                 bags = dict(zip(own, bags_of(own), strict=True))
                 keep += [alike(bags[p], bags[q]) >= THRESHOLD for p, q in zip(left[a:b], right[a:b], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        _words.clear()
 
     likely = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(likely_of, "a long, b long"))
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = texts_of_classes(cut(ends.join(classes.select("node", "first", "print"), "node")), documents)
-    full = likely.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    # A hub is in as many pairs as its group has members: these are dealt in shares, each with the hub's text.
+    hubs = cut(likely.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("shares")).filter("shares > 1"))
+    hubs = F.broadcast(hubs) if hubs.count() <= FEW else hubs
+    one = F.coalesce("shares", F.lit(1))
+    left = likely.join(hubs, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), one).cast("int").alias("share"))
+    right = held.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(hubs, "b", "left").select("b", "text_b", F.explode(F.sequence(F.lit(0), one - 1)).alias("share"))
+    full = left.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(right, ["b", "share"])
     return full.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long").distinct()
 
 

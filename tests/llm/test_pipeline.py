@@ -161,6 +161,7 @@ def test_two_texts_of_one_id(spark):
 def test_large_buckets_are_dealt_in_shares(spark, monkeypatch):
     """As with one share, all links within a bucket are found."""
     monkeypatch.setattr(near_dedup, "SHARE", 2)
+    monkeypatch.setattr(near_dedup, "PAIRS", 2)
     monkeypatch.setattr(near_dedup, "FEW", 0)  # and names go to the salted join
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(0, 60, 5)]
