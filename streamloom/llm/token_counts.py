@@ -1,7 +1,8 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a compact table of the lengths, in tokens, of frequent pre-tokens, which every task gets by broadcast.
-Tier two is a cache in each Python worker: a pre-token that misses the table is encoded once and kept. Texts and their
+Tier two is a cache in each Python worker: a pre-token that misses the table is encoded, and kept if it comes again, as
+most occur once. Texts and their
 pre-tokens are never shuffled; the pass that finds the frequent ones sends one bounded sketch per task, and these are
 added up as they stream in, in two steps where there are many.
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from streamloom.llm.common import FEW_PARTS, slices, small_batches, table, texts_of
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of the broadcast table, entries of each task's sketch, and entries of a worker's cache.
-FREQUENT, SKETCH, CACHE = 16_384, 8_192, 400_000
+#: Entries of the broadcast table, entries of each task's sketch, entries of a worker's cache, and places of hashes met.
+FREQUENT, SKETCH, CACHE, MET = 16_384, 8_192, 400_000, 1 << 23
 #: Characters that only some libraries take as white space, and the openings of special strings.
 ODD = re.compile("[\x1c-\x1f]|<\\|")
 
@@ -96,9 +97,42 @@ def frequent_lengths(texts: DataFrame, path: str) -> tuple[str, bytes]:
     return "\n".join(words[i] for i in kept), lengths[kept].astype(np.uint16).tobytes()
 
 
-#: A worker's tables: the latest broadcast's frequent lengths, and by path the cache.
-_tier_one: dict[str, dict[str, int]] = {}
-_tier_two: dict[str, dict[str, int]] = {}
+class Worker:
+    """A worker's tables: the frequent lengths, and with them those of other pieces that more than one slice of texts had."""
+
+    def __init__(self, path: str, words: str, lengths: bytes):
+        self.path = path
+        self.first = dict(zip(words.split("\n") if words else [], np.frombuffer(lengths, np.uint16).tolist(), strict=True))
+        self.known, self.met = dict(self.first), bytearray(MET)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The tokens of each text."""
+        odd = [i for i, t in enumerate(texts) if ODD.search(t)]
+        whole = dict(zip(odd, encoded_lengths(self.path, [texts[i] for i in odd]), strict=True))
+        flat: list[str] = []
+        ends = []
+        for i, t in enumerate(texts):
+            if i not in whole:
+                flat += t.split()
+            ends.append(len(flat))
+        found = list(map(self.known.get, flat))
+        unknown = [i for i, x in enumerate(found) if x is None] if None in found else []
+        if unknown:
+            missed = list(dict.fromkeys(map(flat.__getitem__, unknown)))
+            fresh = dict(zip(missed, encoded_lengths(self.path, missed), strict=True))
+            for i in unknown:
+                found[i] = fresh[flat[i]]
+            if len(self.known) > CACHE:
+                self.known = dict(self.first)
+            places = [hash(w) % MET for w in missed]
+            self.known.update((w, fresh[w]) for w, k in zip(missed, places, strict=True) if self.met[k])
+            for k in places:
+                self.met[k] = 1
+        return [whole[i] if i in whole else sum(found[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
+
+
+#: The tables of the latest broadcast.
+_workers: dict[str, Worker] = {}
 
 
 def token_counts(documents: DataFrame, limit: int = 2048, path: str | None = None) -> DataFrame:
@@ -111,28 +145,13 @@ def token_counts(documents: DataFrame, limit: int = 2048, path: str | None = Non
     made = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if made not in _tier_one:
-            words, lengths = frequent.value
-            _tier_one.clear()
-            _tier_one[made] = dict(zip(words.split("\n") if words else [], np.frombuffer(lengths, np.uint16).tolist(), strict=True))
-        first = _tier_one[made]
-        second = _tier_two.setdefault(path, {})
+        if made not in _workers:
+            _workers.clear()
+            _workers[made] = Worker(path, *frequent.value)
+        worker = _workers[made]
         for batch in batches:
             texts = texts_of(batch)
-            n_tokens: list[int] = []
-            for a, b in slices(texts):
-                part = texts[a:b]
-                odd = {i for i, t in enumerate(part) if ODD.search(t)}
-                split = [[] if i in odd else t.split() for i, t in enumerate(part)]
-                seen: set[str] = set().union(*split)
-                missed = [w for w in seen if w not in first and w not in second]
-                if len(second) + len(missed) > CACHE:
-                    second.clear()
-                    missed = [w for w in seen if w not in first]
-                second.update(zip(missed, encoded_lengths(path, missed), strict=True))
-                lengths = {w: first[w] if w in first else second[w] for w in seen}
-                whole = dict(zip(sorted(odd), encoded_lengths(path, [part[i] for i in sorted(odd)]), strict=True))
-                n_tokens += [whole[i] if i in odd else sum(map(lengths.__getitem__, words)) for i, words in enumerate(split)]
+            n_tokens = [n for a, b in slices(texts) for n in worker.counts(texts[a:b])]
             n_bytes = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
