@@ -10,16 +10,17 @@ FX1 = """SELECT event_id AS pos, user_id AS id, CAST(CAST(ts AS DATE) AS TIMESTA
   CASE WHEN event_type NOT IN ('signup', 'error') AND event_id % 3 = 1 THEN '__debezium_unavailable_value'
        WHEN event_id % 7 = 0 THEN NULL ELSE props END AS biography
 FROM {events}"""
-ORDERS = """SELECT o_orderkey AS id, 100 + o_orderkey * 10 AS commit_lsn, 1 AS seq, 'c' AS op, o_totalprice AS v FROM {orders}
-UNION ALL SELECT o_orderkey, 103 + o_orderkey * 10, 1, 'u', o_totalprice + 1 FROM {orders} WHERE o_orderkey % 2 = 0
-UNION ALL SELECT o_orderkey, 103 + o_orderkey * 10, 2, 'u', o_totalprice + 2 FROM {orders} WHERE o_orderkey % 6 = 0
-UNION ALL SELECT o_orderkey, 107 + o_orderkey * 10, 1, 'd', o_totalprice FROM {orders} WHERE o_orderkey % 10 = 0"""
+# Each row's events come from one pass over it; n numbers them.
+ORDERS = """SELECT o_orderkey AS id, 100 + o_orderkey * 10 + CASE n WHEN 0 THEN 0 WHEN 3 THEN 7 ELSE 3 END AS commit_lsn, CASE n WHEN 2 THEN 2 ELSE 1 END AS seq,
+  CASE n WHEN 0 THEN 'c' WHEN 3 THEN 'd' ELSE 'u' END AS op, o_totalprice + CASE n WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS v
+FROM {orders} CROSS JOIN (VALUES (0), (1), (2), (3)) AS k(n)
+WHERE n = 0 OR (n = 1 AND o_orderkey % 2 = 0) OR (n = 2 AND o_orderkey % 6 = 0) OR (n = 3 AND o_orderkey % 10 = 0)"""
 BASE = """SELECT l_orderkey AS order_id, l_quantity AS q, CAST(l_orderkey AS BIGINT) * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
   l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS id FROM {lineitem}"""
-LINES = """SELECT order_id, id, 100 + order_id * 10 AS commit_lsn, 1 AS seq, 'c' AS op, q FROM {base}
-UNION ALL SELECT order_id, id, 105 + order_id * 10, 1, 'u', q + 100 FROM {base} WHERE id % 3 = 0
-UNION ALL SELECT order_id, id, 105 + order_id * 10, 2, 'u', q + 200 FROM {base} WHERE id % 9 = 0
-UNION ALL SELECT order_id, id, 106 + order_id * 10, 1, 'd', q FROM {base} WHERE id % 5 = 0"""
+LINES = """SELECT order_id, id, 100 + order_id * 10 + CASE n WHEN 0 THEN 0 WHEN 3 THEN 6 ELSE 5 END AS commit_lsn, CASE n WHEN 2 THEN 2 ELSE 1 END AS seq,
+  CASE n WHEN 0 THEN 'c' WHEN 3 THEN 'd' ELSE 'u' END AS op, q + CASE n WHEN 1 THEN 100 WHEN 2 THEN 200 ELSE 0 END AS q
+FROM {base} CROSS JOIN (VALUES (0), (1), (2), (3)) AS k(n)
+WHERE n = 0 OR (n = 1 AND id % 3 = 0) OR (n = 2 AND id % 9 = 0) OR (n = 3 AND id % 5 = 0)"""
 TX = """SELECT commit_lsn, 5000000 - commit_lsn AS tx_id, CAST(SUM(o) AS BIGINT) AS n_orders, CAST(SUM(l) AS BIGINT) AS n_lines
 FROM (SELECT commit_lsn, 1 AS o, 0 AS l FROM {fo} UNION ALL SELECT commit_lsn, 0, 1 FROM {fl}) e GROUP BY commit_lsn"""
 ARRIVED = "SELECT * FROM {fl} WHERE NOT (commit_lsn >= 8000 AND id % 97 = 0)"
