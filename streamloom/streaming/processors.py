@@ -66,6 +66,41 @@ def backfill_batches(events: DataFrame, path: str, checkpoint: str, column: str,
     return to_table(events, path, checkpoint, lambda batch: backfill_over(batch, column, **options))
 
 
+class Normalize(StatefulProcessor):
+    """One consistent history per key, as the batch form makes it: repeats dropped, images before a change added."""
+
+    def __init__(self, key: str, value: str, order: str = "pos"):
+        self.value, self.order, self.row = value, order, Row(key, order, "op", "before", "after")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "value string, live boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old, was = tuple(self.last.get()) if self.last.exists() else (None, False)
+        for r in sorted(rows, key=lambda r: r[self.order]):
+            new, live = r[self.value], r["op"] != "d"
+            if (live and not (was and old == new)) or (was and not live):
+                yield self.row(key[0], r[self.order], ("u" if was else "c") if live else "d", old if was else None, new if live else None)
+            old, was = new, live
+        self.last.update((old, was))
+
+    def close(self) -> None:
+        pass
+
+
+def normalize_stream(events: DataFrame, key: str, value: str, order: str = "pos") -> DataFrame:
+    """key, order, op, before, after from events (key, order, op and a value of text)."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, op string, before string, after string"
+    return events.groupBy(key).transformWithState(Normalize(key, value, order), schema, "append", "none")
+
+
+def upsert_stream(events: DataFrame, key: str, value: str, order: str = "pos") -> DataFrame:
+    """The changes of an upsert topic: the last value of a key counts, a null deletes; repeats and deletes of unknown keys go."""
+    op = F.when(F.col(value).isNull(), "d").otherwise("u")
+    return normalize_stream(events.withColumn("op", op), key, value, order)
+
+
 #: A released event, and an aggregate.
 RELEASED = Row("tbl", "order_id", "id", "seq", "op", "v", "commit_lsn")
 RELEASED_SCHEMA = "tbl string, order_id long, id long, seq long, op string, v double, commit_lsn long"

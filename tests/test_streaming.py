@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from streamloom.operators import backfill, changelog, transactions, txjoin
 from streamloom.plans.fixtures import load
 from streamloom.sources.connectors import ddl, files, generate, slots, to_callback, to_console, to_table
-from streamloom.streaming.processors import backfill_batches, backfill_stream, configure, order_stream
+from streamloom.streaming.processors import backfill_batches, backfill_stream, configure, normalize_stream, order_stream, upsert_stream
 
 SF = "/root/testdata/sf0.001"
 ROW = "tx_id long, order_id long, id long, seq long, op string, v double"
@@ -99,6 +99,19 @@ def test_backfill_stream(spark, tmp_path, n):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count()
 
 
+@pytest.mark.parametrize("upsert", [False, True])
+def test_normalized_streams(spark, tmp_path, upsert):
+    configure(spark)
+    fx1 = load(spark, SF, "fx1").select("pos", "id", F.when(F.col("biography").isNull() & upsert, "d").when(F.lit(upsert), "u").otherwise(F.col("op")).alias("op"), "biography").filter("id < 20")
+    rows = sorted((r.asDict() for r in fx1.collect()), key=lambda r: r["pos"])
+    put(f"{tmp_path}/in", [rows[: len(rows) // 3], rows[len(rows) // 3 :]])
+    events = files(spark, f"{tmp_path}/in", "pos long, id long, op string, biography string", per_batch=1)
+    run(upsert_stream(events.drop("op"), "id", "biography") if upsert else normalize_stream(events, "id", "biography"), tmp_path)
+    got = spark.read.parquet(f"{tmp_path}/out").select("id", "pos", "op", "before", "after")
+    want = changelog.normalize(fx1, "id", "biography").select("id", "pos", "op", "before", "after")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count()
+
+
 def test_window_backfill_of_batches(spark, tmp_path):
     rows = [{"pos": 1, "id": 1, "op": "c", "ts": "2024-01-01T00:00:00", "b": "x"}, {"pos": 2, "id": 1, "op": "u", "ts": "2024-01-02T00:00:00", "b": backfill.UNAVAILABLE}]
     put(f"{tmp_path}/in", [rows])
