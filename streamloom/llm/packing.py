@@ -39,6 +39,8 @@ WINDOW, CACHE, MET = 1024, 400_000, 1 << 23
 BUFFER, STEP = 256 * WINDOW, 8
 #: Pieces that are encoded as one text.
 JOINED = 128
+#: Marks that are a pre-token of their own after letters, if nothing follows.
+MARKS = frozenset(".,;:!?")
 #: A space before white space or the end; elsewhere every space starts a pre-token.
 LOOSE = re.compile(r" (?:\s|\Z)")
 BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
@@ -94,13 +96,20 @@ def single_piece(path: str):
 
 
 def encode_words(words: list[str], path: str) -> list[bytes]:
-    """The ids of each word with a space before it. Words of letters only are one pre-token each."""
+    """The ids of each word with a space before it. Words of letters only are one pre-token, with one of MARKS after them two."""
     single = single_piece(path)
     if single is None:
         return encode_joined(words, path)
-    others = [w for w in words if not w.isalpha()]
-    rest = iter(encode_joined(others, path))
-    return [as_bytes(single((" " + w).encode())) if w.isalpha() else next(rest) for w in words]
+    out: list[bytes | None] = []
+    for w in words:
+        if w.isalpha():
+            out.append(as_bytes(single((" " + w).encode())))
+        elif w[-1] in MARKS and w[:-1].isalpha():
+            out.append(as_bytes(single((" " + w[:-1]).encode()) + single(w[-1].encode())))
+        else:
+            out.append(None)
+    rest = iter(encode_joined([w for w, x in zip(words, out, strict=True) if x is None], path))
+    return [next(rest) if x is None else x for x in out]
 
 
 def encode_joined(words: list[str], path: str) -> list[bytes]:
@@ -128,11 +137,12 @@ def as_bytes(ids: list[int]) -> bytes:
 def encode_all(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit integers."""
     cache, met = _caches.setdefault(path, ({}, bytearray(MET)))
-    odd = [i for i, t in enumerate(texts) if SPECIAL in t]
-    flat: list[str] = []
-    ends = []
-    for t in texts:
-        flat += pieces_of(t) if SPECIAL not in t else ()
+    odd, flat, ends = [], [], []
+    for i, t in enumerate(texts):
+        if SPECIAL in t:
+            odd.append(i)
+        else:
+            flat += pieces_of(t)
         ends.append(len(flat))
     found = list(map(cache.get, flat))
     unknown = [i for i, x in enumerate(found) if x is None] if None in found else []
