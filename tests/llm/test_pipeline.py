@@ -1,6 +1,7 @@
 """The pipeline and its stages against plain Python on the smallest table, and on the hard cases."""
 
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -29,13 +30,13 @@ def naive_bayes(rows):
         if lang is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
             counts.setdefault(lang, Counter()).update(grams(t))
             docs[lang] += 1
-    out = {}
+    out, total = {}, {k: c.total() + 0.5 * language_id.BINS for k, c in counts.items()}
     for i, t, _ in rows:
-        own = grams(t)
-        joint = {k: np.log(docs[k]) + sum(np.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * language_id.BINS)) for g in own) for k, c in counts.items()}
+        own = Counter(grams(t))
+        joint = {k: math.log(docs[k]) + sum(n * math.log((c[g] + 0.5) / total[k]) for g, n in own.items()) for k, c in counts.items()}
         top = max(joint.values())
         best = min(k for k in joint if joint[k] == top)
-        out[i] = (best if letters(t).strip() else "und", 1 / sum(np.exp(v - top) for v in joint.values()))
+        out[i] = (best if letters(t).strip() else "und", 1 / sum(math.exp(v - top) for v in joint.values()))
     return out
 
 
