@@ -49,6 +49,13 @@ def epoch_date(days: Column) -> Column:
     return F.date_from_unix_date(days)
 
 
+def day_text(date: Column) -> Column:
+    """A date as year-month-day for any year: four digits at least from year 0 on, more without a sign; years before as they are."""
+    year = F.year(date)
+    digits = F.when(year.between(0, 999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    return F.concat(digits, F.substring(date.cast("string"), -6, 6))
+
+
 def lines_by_id(lines: Column) -> Column:
     return F.map_from_entries(F.transform(lines, lambda x: F.struct(x["id"], x)))
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.functions.expressions import json_field, later, lines_by_id, map_put, map_remove, money, tx_id, tx_lsn, tx_string, utf8
+from streamloom.functions.expressions import day_text, epoch_date, json_field, later, lines_by_id, map_put, map_remove, money, tx_id, tx_lsn, tx_string, utf8
 from streamloom.operators import backfill, changelog, envelope, reporting, transactions, txjoin
 from streamloom.sources.connectors import ddl
 from streamloom.plans.fixtures import load, with_sql
@@ -297,7 +297,7 @@ def value_mapping(events):
 @query(" SELECT o_orderkey, strftime(DATE '1970-01-01' + CAST(o_orderkey AS INTEGER), '%Y-%m-%d') AS day, md5(CAST(o_orderkey AS VARCHAR)) AS digest, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS padded FROM orders", "orders")
 def scalar_functions(orders):
     k = F.col("o_orderkey")
-    return orders.select("o_orderkey", F.date_format(F.date_from_unix_date(k.cast("int")), "yyyy-MM-dd").alias("day"), F.md5(k.cast("string").cast("binary")).alias("digest"), F.lpad(k.cast("string"), 12, "0").alias("padded"))
+    return orders.select("o_orderkey", day_text(epoch_date(k.cast("int"))).alias("day"), F.md5(k.cast("string").cast("binary")).alias("digest"), F.lpad(k.cast("string"), 12, "0").alias("padded"))
 
 
 @query(" SELECT count(*) AS n FROM fl WHERE order_id % 3 = 0 OR order_id NOT IN (SELECT id FROM fo)", "fo", "fl")

@@ -34,3 +34,16 @@ def test_query_matches_sql(spark, duck, name):
     mine = plain([tuple(r) for r in got.collect()], got.columns)
     assert mine == plain(want.fetchall(), names)
     assert mine
+
+
+def test_scalar_functions_of_far_days(spark, tmp_path):
+    """Years of more than four digits, of less, and before year 0."""
+    keys = [None, 0, 149_999, 2_932_896, 2_932_897, 9_000_000, 99_999_999, 2_147_483_646, -1, -719_162, -719_528, -719_529, -1_000_000, -8_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.QUERIES["scalar_functions"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = c.execute(catalog.ORACLE_SQL["scalar_functions"])
+    names = [d[0] for d in want.description]
+    mine = plain([tuple(r) for r in got.collect()], got.columns)
+    assert len(mine) == len(keys) and mine == plain(want.fetchall(), names)
