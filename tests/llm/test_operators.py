@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,26 @@ def test_lm_counts():
     assert lm_score.small(np.array([1000, 1, 0, 3], np.uint32), 255, np.uint8).tolist() == [255, 1, 0, 3]
 
 
+def test_lm_fit_takes_every_bit():
+    """Weights and map are fitted to all bits of all training texts, with the inputs and gates that the reader has."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijéß"), rng.integers(2, 9))) for _ in range(60)]
+    texts = ["", "x", *(" ".join(rng.choice(words, n)) for n in (30, 300, 3000)), "again and " * 50]
+    data = [t.encode() for t in texts]
+    m, _ = lm_model(data)
+    sums = np.frombuffer(next(lm_score.fitted(m, iter([pa.record_batch({"text": texts[:3]}), pa.record_batch({"text": texts[3:]})]))).column("counts")[0].as_py())
+    k = lm_score.GATES * lm_score.INPUTS
+    share, (ones, every) = sums[k : k + lm_score.GATES], sums[k + lm_score.GATES :].reshape(2, lm_score.PLACES, lm_score.STEPS)
+    joint, lengths = lm_score.joined(data)
+    _, gate, place, y, length = m.inputs(joint, lm_score.contexts_of(joint, lengths), *lm_score.repeats_of(joint, lengths), np.ones(len(joint), bool))
+    assert len(gate) == length.sum() > 15_000
+    assert share[: lm_score.SEEN].tolist() == np.bincount(gate, minlength=lm_score.SEEN).tolist()
+    assert share[lm_score.SEEN :].tolist() == every.sum(axis=1).tolist() == np.bincount(place, minlength=lm_score.PLACES).tolist()
+    assert ones.sum(axis=1).tolist() == np.bincount(place, y, lm_score.PLACES).tolist()
+    fit = lm_score.refitted(m, sums)
+    assert fit.log10(data, [True] * len(data)).sum() > m.log10(data, [True] * len(data)).sum()
+
+
 def test_lm_repeats_and_growth(spark):
     """A text that occurs twice scores better than one that occurs once; the tables follow the input."""
     rng = np.random.default_rng(4)
