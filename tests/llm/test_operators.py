@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamloom.llm import ann, decontaminate, language_id, lm_score, near_dedup, packing, quality, secret_scan, token_counts, url_filter
-from streamloom.llm.common import is_bucket
+from streamloom.llm.common import FEW_PARTS, added_blocks, is_bucket
 
 SF = "/root/testdata/sf0.001"
 KEY = "9f8A2kLmQ0zXc7VbN4tYpR6wEuJ1sHdG"
@@ -251,6 +251,28 @@ def test_lm_fit_takes_every_bit():
     assert fit.log10(data, [True] * len(data)).sum() > m.log10(data, [True] * len(data)).sum()
 
 
+def test_lm_one_worker_a_task(spark, monkeypatch):
+    """No stage of the model's tables runs a second Python step, whose worker would stay in memory beside the first."""
+    docs = spark.createDataFrame([(i, f"word {i} and more words {i % 7}") for i in range(50)], "doc_id long, text string")
+    plans, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or collect(self))
+    assert len(lm_score.score(docs, F.col("doc_id") >= 10).collect()) == 50
+    stages = [stage for p in plans for stage in p.split("RepartitionByExpression")]
+    assert sum("MapInArrow" in x for x in stages) >= 4 and max(x.count("MapInArrow") for x in stages) == 1
+
+
+def test_added_blocks(spark):
+    """Sums of blocks, whole or finished where they are added up, from few partitions and from many."""
+    rows = [(i % 3, np.array([i, 1], np.uint32).tobytes()) for i in range(200)]
+    want = {k: [sum(range(k, 200, 3)), len(range(k, 200, 3))] for k in range(3)}
+    read = lambda raw: np.frombuffer(raw, np.uint32)
+    for parts in (2, FEW_PARTS + 6):
+        df = spark.createDataFrame(rows, "block int, counts binary").repartition(parts)
+        assert {r["block"]: np.frombuffer(bytes(r["counts"]), np.uint64).tolist() for r in added_blocks(df, read, np.uint64).collect()} == want
+        some = added_blocks(df, read, np.uint64, lambda x: {"first": x[:1].tobytes(), "last": x[-1:].tobytes()}, "block int, first binary, last binary")
+        assert {r["block"]: [int(np.frombuffer(bytes(r[k]), np.uint64)[0]) for k in ("first", "last")] for r in some.collect()} == want
+
+
 def test_lm_repeats_and_growth(spark):
     """A text that occurs twice scores better than one that occurs once; the tables follow the input."""
     rng = np.random.default_rng(4)
