@@ -261,6 +261,16 @@ def test_lm_one_worker_a_task(spark, monkeypatch):
     assert sum("MapInArrow" in x for x in stages) >= 4 and max(x.count("MapInArrow") for x in stages) == 1
 
 
+def test_lm_kernel_reads_as_defined(spark, monkeypatch):
+    """The compiled reader gives the scores of the definition in Python."""
+    texts = ["", "the cat sat on the mat and the dog sat on the cat", "x" * 300, "die K\u00f6nigin \u00fcber alles " * 8, "one two one two three " * 20]
+    docs, models, kernel = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], lm_score.kernel
+    monkeypatch.setattr(lm_score, "kernel", lambda *a: models.append(a[-1]) or kernel(*a))
+    got = sorted(lm_score.score(docs, F.col("doc_id") >= 2).collect())
+    want = models[-1].log10([t.encode() for t in texts], [i >= 2 for i in range(len(texts))])
+    assert np.allclose([r["score"] for r in got], want, rtol=1e-3)
+
+
 def test_added_blocks(spark):
     """Sums of blocks, whole or finished where they are added up, from few partitions and from many."""
     rows = [(i % 3, np.array([i, 1], np.uint32).tobytes()) for i in range(200)]
